@@ -15,6 +15,32 @@ def op9_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+
+def op10_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), capacity=1024)
+
+
+def op8_polynomial_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact import exact_groups
+
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
+#: The rules of the contract: verdict, host, path prefix.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge, listed_table
+
+    hosts = F.explode(F.array(*[F.lit(f"spam-farm.example.{t}") for t in ("com", "net", "org")]))
+    langs = F.explode(F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")]))
+    listed = spark.range(1000).select("id", hosts.alias("host")).select("id", "host", langs.alias("lang")).select(F.concat(F.lit("http://"), "host", F.lit("/"), "lang", F.lit("/"), F.col("id").cast("string")).alias("url"))
+    return judge(table(spark, sf_dir, "pages"), URL_RULES, listed_table(listed))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()} | _pipeline()
 
