@@ -47,6 +47,12 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_log_frequency_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import fifth, score
+
+    return score(table(spark, sf_dir, "documents"), fifth() == 1)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()} | _pipeline()
 
