@@ -53,6 +53,14 @@ def op2_log_frequency_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), fifth() == 1)
 
 
+def op7_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import fifth
+    from .toxicity import score
+
+    out = score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", (fifth() == 0).alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()} | _pipeline()
 
