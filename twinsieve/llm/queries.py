@@ -61,6 +61,12 @@ def op7_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fifth() == 0).alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op5_e8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_groups
+
+    return near_groups(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()} | _pipeline()
 
