@@ -67,7 +67,7 @@ def _fingerprints(batches):
     for batch in batches:
         texts = [normalised(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch["text"].cast(pa.binary())]
         prints = [fingerprint(t) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch["_rid"], batch["_oid"], pa.array(prints, pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])], names=["_rid", "_oid", "fp", "text_sha256"])
+        yield pa.RecordBatch.from_arrays([batch["_ts_rid"], batch["_oid"], pa.array(prints, pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])], names=["_ts_rid", "_oid", "fp", "text_sha256"])
 
 
 def _chunks(batches):
@@ -86,20 +86,20 @@ def _chunks(batches):
 
 def with_row_ids(docs: DataFrame) -> DataFrame:
     """`docs` must be a scan or a checkpoint: its rows get the same ids each time it is read."""
-    return docs.withColumn("_rid", F.monotonically_increasing_id())
+    return docs.withColumn("_ts_rid", F.monotonically_increasing_id())
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """_rid, doc order, text_sha256, keep_id, group_size, kept for each row of `docs`."""
-    own = with_row_ids(docs).select("_rid", order_id().alias("_oid"), "text")
-    rows = cut(own.select("_rid", "_oid", "text").mapInArrow(_fingerprints, "_rid long, _oid long, fp binary, text_sha256 string"))
+    own = with_row_ids(docs).select("_ts_rid", order_id().alias("_oid"), "text")
+    rows = cut(own.select("_ts_rid", "_oid", "text").mapInArrow(_fingerprints, "_ts_rid long, _oid long, fp binary, text_sha256 string"))
     several = rows.groupBy("fp").count().where("count > 1").select("fp")
-    members = cut(rows.join(several, "fp", "left_semi").select("_rid", "fp"))
+    members = cut(rows.join(several, "fp", "left_semi").select("_ts_rid", "fp"))
     n = members.count()
     clash = None
     if n:
         spark = docs.sparkSession
-        sieve = spark.sparkContext.broadcast(bloom.build(members.select(F.xxhash64("_rid").alias("h")), "h", n))
+        sieve = spark.sparkContext.broadcast(bloom.build(members.select(F.xxhash64("_ts_rid").alias("h")), "h", n))
 
         @F.pandas_udf("boolean")
         def possible(h):
@@ -107,7 +107,7 @@ def groups(docs: DataFrame) -> DataFrame:
 
             return pd.Series(bloom.probe(sieve.value, np.ascontiguousarray(h.to_numpy(np.int64))))
 
-        texts = own.where(possible(F.xxhash64("_rid"))).select("_rid", "text").join(members, "_rid").select("fp", "text")
+        texts = own.where(possible(F.xxhash64("_ts_rid"))).select("_ts_rid", "text").join(members, "_ts_rid").select("fp", "text")
         parts = texts.mapInArrow(_chunks, "fp binary, no int, part binary").groupBy("fp", "no", "part").count()
         clash = cut(parts.groupBy("fp", "no").count().where("count > 1").select("fp").distinct())
     if clash is not None and clash.count():
@@ -115,8 +115,8 @@ def groups(docs: DataFrame) -> DataFrame:
         rows = rows.join(clash.withColumn("_clash", F.lit(1)), "fp", "left").withColumn("_split", split).drop("_clash")
     else:
         rows = rows.withColumn("_split", F.lit(""))
-    first = rows.groupBy("fp", "_split").agg(F.min(F.struct("_oid", "_rid")).alias("_first"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(first, ["fp", "_split"]).select("_rid", "_oid", "text_sha256", F.col("_first._oid").alias("_keep"), "group_size", (F.col("_first._rid") == F.col("_rid")).alias("kept"))
+    first = rows.groupBy("fp", "_split").agg(F.min(F.struct("_oid", "_ts_rid")).alias("_first"), F.count(F.lit(1)).alias("group_size"))
+    return rows.join(first, ["fp", "_split"]).select("_ts_rid", "_oid", "text_sha256", F.col("_first._oid").alias("_keep"), "group_size", (F.col("_first._ts_rid") == F.col("_ts_rid")).alias("kept"))
 
 
 def _id(column: str):
@@ -132,5 +132,5 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows that stay, with their own columns."""
-    stay = groups(docs).where("kept").select("_rid")
-    return with_row_ids(docs).join(stay, "_rid", "left_semi").drop("_rid")
+    stay = groups(docs).where("kept").select("_ts_rid")
+    return with_row_ids(docs).join(stay, "_ts_rid", "left_semi").drop("_ts_rid")

@@ -56,8 +56,8 @@ def sketch(batches):
         raw_digest, raw_sig = digest.tobytes(), sig.tobytes()
         w = 2 * SYMBOLS
         yield pa.RecordBatch.from_arrays(
-            [batch["_rid"], batch["_oid"], pa.array(sizes), pa.array([None if e else raw_digest[16 * i : 16 * i + 16] for i, e in enumerate(empty)], pa.binary()), pa.array([None if e else raw_sig[w * i : w * i + w] for i, e in enumerate(empty)], pa.binary())],
-            names=["_rid", "_oid", "n", "sid", "sig"],
+            [batch["_ts_rid"], batch["_oid"], pa.array(sizes), pa.array([None if e else raw_digest[16 * i : 16 * i + 16] for i, e in enumerate(empty)], pa.binary()), pa.array([None if e else raw_sig[w * i : w * i + w] for i, e in enumerate(empty)], pa.binary())],
+            names=["_ts_rid", "_oid", "n", "sid", "sig"],
         )
 
 
@@ -135,10 +135,10 @@ def _near(x: str, y: str) -> F.Column:
 def near_groups(docs: DataFrame) -> DataFrame:
     """_rid, _oid, n_shingles, _component (smallest id), _label (of the component), kept for each row of `docs`."""
     spark = docs.sparkSession
-    own = with_row_ids(docs).select("_rid", order_id().alias("_oid"), "text")
-    rows = cut(own.mapInArrow(sketch, "_rid long, _oid long, n long, sid binary, sig binary"))
+    own = with_row_ids(docs).select("_ts_rid", order_id().alias("_oid"), "text")
+    rows = cut(own.mapInArrow(sketch, "_ts_rid long, _oid long, n long, sid binary, sig binary"))
     classes = cut(
-        rows.where(F.col("sid").isNotNull()).groupBy("sid", "n", "sig").agg(F.min("_oid").alias("mid"), F.min("_rid").alias("_rid"))
+        rows.where(F.col("sid").isNotNull()).groupBy("sid", "n", "sig").agg(F.min("_oid").alias("mid"), F.min("_ts_rid").alias("_ts_rid"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     keys = classes.where("n > 2").select("node", "sig").mapInArrow(index_keys, "key long, node long")
@@ -149,8 +149,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     label = None
     if n:
         info = cut(classes.join(nodes, "node", "left_semi").select("node", "n", "sig").mapInArrow(packed, "node long, n long, s0 long, s1 long, s2 long"))
-        places = classes.join(nodes, "node", "left_semi").select("_rid", "node")
-        sieve = spark.sparkContext.broadcast(bloom.build(places.select(F.xxhash64("_rid").alias("h")), "h", n))
+        places = classes.join(nodes, "node", "left_semi").select("_ts_rid", "node")
+        sieve = spark.sparkContext.broadcast(bloom.build(places.select(F.xxhash64("_ts_rid").alias("h")), "h", n))
 
         @F.pandas_udf("boolean")
         def possible(h):
@@ -158,7 +158,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
             return pd.Series(bloom.probe(sieve.value, np.ascontiguousarray(h.to_numpy(np.int64))))
 
-        sets = cut(own.where(possible(F.xxhash64("_rid"))).select("_rid", "text").join(places, "_rid").select("node", "text").mapInArrow(_set_of, "node long, shingles binary"))
+        sets = cut(own.where(possible(F.xxhash64("_ts_rid"))).select("_ts_rid", "text").join(places, "_ts_rid").select("node", "text").mapInArrow(_set_of, "node long, shingles binary"))
 
         def links(pairs: DataFrame) -> DataFrame:
             x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -196,7 +196,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     named = cut(named)
     least = named.groupBy("label").agg(F.min("mid").alias("_component"))
     by_set = named.join(least, "label").select("sid", "_component", "label")
-    full = rows.join(by_set, "sid", "left").select("_rid", "_oid", F.col("n").alias("n_shingles"), F.coalesce("_component", "_oid").alias("_component"), F.coalesce("label", -1 - F.col("_rid")).alias("_label"))
+    full = rows.join(by_set, "sid", "left").select("_ts_rid", "_oid", F.col("n").alias("n_shingles"), F.coalesce("_component", "_oid").alias("_component"), F.coalesce("label", -1 - F.col("_ts_rid")).alias("_label"))
     return full.withColumn("kept", F.col("_oid") == F.col("_component"))
 
 
@@ -209,5 +209,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One row of each component, with its own columns; of repeated rows with that id the first."""
     out = near_groups(docs).where("kept")
-    stay = out.groupBy("_label").agg(F.min("_rid").alias("_rid")).select("_rid")
-    return with_row_ids(docs).join(stay, "_rid", "left_semi").drop("_rid")
+    stay = out.groupBy("_label").agg(F.min("_ts_rid").alias("_ts_rid")).select("_ts_rid")
+    return with_row_ids(docs).join(stay, "_ts_rid", "left_semi").drop("_ts_rid")

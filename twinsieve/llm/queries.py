@@ -58,7 +58,7 @@ def op7_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score
 
     out = score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", (fifth() == 0).alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return out.select("doc_id", (fifth() == 0).alias("held_out"), F.col("_ts_toxicity").alias("score"), F.when(F.col("_ts_toxicity") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def op5_e8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,13 @@ def op5_e8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import weighed
+
+    out = weighed(table(spark, sf_dir, "documents"), keep=0.7)
+    return out.select("doc_id", "source", "lang", F.col("_ts_topic").alias("topic"), F.col("_ts_tokens").alias("tokens"), F.col("_ts_weight").alias("weight"), F.col("_ts_p").alias("probability"), F.col("_ts_in").alias("sampled"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()} | _pipeline()
 

@@ -28,6 +28,7 @@ TRAIN_ROWS, FEATURES, LEAST_ROWS, LEAST_RATIO = 20_000, 1024, 4, 15.0
 #: Which letters a digit or sign may stand for.
 LOOK_ALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c"}
 CODES = 28
+SCORE = "_ts_toxicity"
 
 _CODE = np.zeros(256, np.uint8)
 _CODE[97:123] = np.arange(1, 27)
@@ -228,7 +229,7 @@ def fit(hits: list[tuple[int, list[int]]], width: int) -> np.ndarray:
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` (doc_id, text, ...) with `toxicity`, the score; other columns stay."""
+    """`docs` (doc_id, text, ...) with `_ts_toxicity`, the score; other columns stay."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(character_model(docs))
     given = labels.where((fifth() != 0) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("_y"))
@@ -294,13 +295,13 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             rows, cols = found(batch["text"], decoder)
             z = np.bincount(rows, w[cols], batch.num_rows) + w[-1] if len(rows) else np.full(batch.num_rows, w[-1])
-            yield pa.RecordBatch.from_arrays([*[batch[k] for k in kinds], pa.array(1 / (1 + np.exp(-z)))], names=[*kinds, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*[batch[k] for k in kinds], pa.array(1 / (1 + np.exp(-z)))], names=[*kinds, SCORE])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(scored, StructType([*docs.schema.fields, StructField("toxicity", DoubleType())]))
+    return docs.mapInArrow(scored, StructType([*docs.schema.fields, StructField(SCORE, DoubleType())]))
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows scored under the threshold, with their own columns."""
-    return score(docs, labels).where(F.col("toxicity") < threshold).drop("toxicity")
+    return score(docs, labels).where(F.col(SCORE) < threshold).drop(SCORE)
