@@ -74,6 +74,12 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", F.col("_ts_topic").alias("topic"), F.col("_ts_tokens").alias("tokens"), F.col("_ts_weight").alias("weight"), F.col("_ts_p").alias("probability"), F.col("_ts_in").alias("sampled"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), least=100).drop("kept")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()} | _pipeline()
 
