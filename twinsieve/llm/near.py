@@ -6,10 +6,11 @@ four symbols. Within 19 differing symbols some chunk has at most one (pigeonhole
 out one symbol of each chunk finds every pair within that distance; pairs at a Jaccard similarity of 0.75 differ in ten
 symbols on average, and one misses all 40 keys with a chance of 1.5e-6. Links are confirmed on the full sets.
 
-Equal sets are one class from the start. Under a key, classes are first compared with one representative only, then with
-another; keys whose members have come together by then are done. What remains under a key is compared in full, but only
-across components and only with members outside the key's largest one, so a large group of copies costs links in
-proportion to its size. Nothing is capped.
+Equal sets are one class from the start. Under a key all classes are first compared with its hub only, the member whose
+keys hold the most, which for altered copies of one text is the text itself. Keys whose members have come together by
+then are done. The members of the others are gathered by hub and by size (a link's sizes differ by at most 4/3), and
+what has different components there is compared in full: in pairs of blocks of about BLOCK members, by exact
+intersections, of which only links come out, one for each two components. Nothing is capped, and no pair is a row.
 
 Null and blank texts have no shingles, link with nothing and are kept. Repeated rows and ids: rows are told apart by
 their place; a component's id is its smallest doc_id. Null ids come last (component null if there is no other). Empty
@@ -30,9 +31,10 @@ from .graph import components
 
 SYMBOLS, CHUNK = 40, 4
 _FACTORS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-#: Differing symbols (told by four bits each) beyond which a pair is not worth the full comparison: at a similarity of
-#: 0.75 this many occur with a chance under 1e-6.
+#: Differing symbols (told by four bits each) beyond which a star's pair is not compared; it may still be in the blocks.
 FAR = 23
+#: Members of a block of the final comparison, and columns of it multiplied out at a time.
+BLOCK, WIDE = 512, 4096
 
 
 def sketch(batches):
@@ -120,6 +122,36 @@ def confirm(batches):
         yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], names=["a", "b"])
 
 
+def across(table: pa.Table) -> pa.Table:
+    """Links between the components that meet in a pair of blocks, one for each two components, by exact intersections.
+
+    Only shingles of two members or more count; their incidence is multiplied out some thousand columns at a time."""
+    label = table["label"].to_numpy()
+    a, b = [], []
+    if len(np.unique(label)) > 1:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
+        n = np.array([len(x) for x in sets])
+        _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), n)
+        shared = df[column] > 1
+        renumbered = np.cumsum(df > 1) - 1
+        row, column = row[shared], renumbered[column[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, WIDE):
+            at, to = np.searchsorted(column, (lo, lo + WIDE))
+            m = np.zeros((len(sets), WIDE), np.float32)
+            m[row[at:to], column[at:to] - lo] = 1
+            common += m @ m.T
+        linked = (100 * common.astype(np.int64) >= 75 * (n[:, None] + n[None] - common.astype(np.int64))) & (label[:, None] < label[None])
+        x, y = np.nonzero(linked)
+        _, first = np.unique(np.stack((label[x], label[y])), axis=1, return_index=True)
+        node = table["node"].to_numpy()
+        a, b = node[x[first]], node[y[first]]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def _near(x: str, y: str) -> F.Column:
     """Sizes and signatures that a link could have."""
     def differing(s: str):
@@ -142,14 +174,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
         .withColumn("node", F.monotonically_increasing_id())
     )
     keys = classes.where("n > 2").select("node", "sig").mapInArrow(index_keys, "key long, node long")
-    counts = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     live = cut(keys.join(counts, "key"))
-    nodes = cut(live.select("node").distinct())
-    n = nodes.count()
+    weight = live.groupBy("node").agg(F.sum("many").alias("w"))
+    weight = cut(weight.select("node", F.shiftleft("w", 24).bitwiseOR(F.xxhash64("node").bitwiseAND(F.lit(0xFFFFFF))).alias("weight")))
+    n = weight.count()
     label = None
     if n:
-        info = cut(classes.join(nodes, "node", "left_semi").select("node", "n", "sig").mapInArrow(packed, "node long, n long, s0 long, s1 long, s2 long"))
-        places = classes.join(nodes, "node", "left_semi").select("_ts_rid", "node")
+        own_nodes = classes.join(weight.select("node"), "node", "left_semi")
+        info = cut(own_nodes.select("node", "n", "sig").mapInArrow(packed, "node long, n long, s0 long, s1 long, s2 long"))
+        places = own_nodes.select("_ts_rid", "node")
         sieve = spark.sparkContext.broadcast(bloom.build(places.select(F.xxhash64("_ts_rid").alias("h")), "h", n))
 
         @F.pandas_udf("boolean")
@@ -159,37 +193,26 @@ def near_groups(docs: DataFrame) -> DataFrame:
             return pd.Series(bloom.probe(sieve.value, np.ascontiguousarray(h.to_numpy(np.int64))))
 
         sets = cut(own.where(possible(F.xxhash64("_ts_rid"))).select("_ts_rid", "text").join(places, "_ts_rid").select("node", "text").mapInArrow(_set_of, "node long, shingles binary"))
-
-        def links(pairs: DataFrame) -> DataFrame:
-            x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-            y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-            return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
-
-        def starred(end: str, of: DataFrame) -> DataFrame:
-            """Each member with its key's representative."""
-            pairs = of.where(F.col("node") != F.col(end)).select(F.col(end).alias("a"), F.col("node").alias("b")).distinct()
-            x, y = info.alias("x"), info.alias("y")
-            return pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_near("x", "y")).select("a", "b")
-
-        found = cut(links(starred("first", live)))
-        for step in ("last", "all"):
-            label = cut(components(found))
-            labelled = live.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            spread = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
-            live = cut(labelled.join(spread, "key", "left_semi").select("key", "node", "first", "last", "label"))
-            if step == "last":
-                ends = live.select("key", F.col("node").alias("last"), F.col("label").alias("other"))
-                apart = live.join(ends, ["key", "last"]).where("label <> other")
-                more = links(starred("last", apart))
-                live = live.drop("label")
-            else:
-                sizes = live.groupBy("key", "label").count()
-                big = sizes.groupBy("key").agg(F.max(F.struct("count", "label")).alias("m")).select("key", F.col("m.label").alias("big"))
-                full = live.join(info, "node").join(big, "key").select("key", "node", "label", "n", "s0", "s1", "s2", (F.col("label") == F.col("big")).alias("in_big"))
-                x, y = full.where("not in_big").alias("x"), full.alias("y")
-                pairs = x.join(y, "key").where((F.col("x.label") != F.col("y.label")) & (F.col("y.in_big") | (F.col("x.node") < F.col("y.node"))) & _near("x", "y"))
-                more = links(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-            found = cut(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+        top = live.join(weight, "node").groupBy("key").agg(F.max("weight").alias("weight")).join(weight.groupBy("weight").agg(F.min("node").alias("hub")), "weight").select("key", "hub")
+        held = cut(live.select("key", "node").join(top, "key"))
+        pairs = held.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        x, y = info.alias("x"), info.alias("y")
+        stars = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_near("x", "y")).select("a", "b")
+        x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+        y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        label = cut(components(stars.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")))
+        labelled = held.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        spread = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
+        members = labelled.join(spread, "key", "left_semi").select("hub", "node", "label").distinct().join(info.select("node", "n"), "node")
+        band = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(4 / 3))).cast("int")
+        members = cut(members.select("hub", "node", "label", F.explode(F.array(band, band + 1)).alias("band")))
+        sizes = members.groupBy("hub", "band").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
+        sizes = sizes.select("hub", "band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        dealt = members.join(sizes, ["hub", "band"]).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("hub", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "label")
+        more = dealt.join(sets, "node").groupBy("hub", "band", "i", "j").applyInArrow(across, "a long, b long")
+        found = label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more.distinct())
         label = components(found)
     named = classes.select("sid", "node", "mid")
     named = named.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")) if label is not None else named.withColumn("label", F.col("node"))
