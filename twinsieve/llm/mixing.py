@@ -49,7 +49,7 @@ def _shares(sums: dict[str, float], given: dict[str, float] | None, temper: floa
 
 
 def _of(values: dict[str, float], column: str | Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), column)
+    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col(column) if isinstance(column, str) else column)
 
 
 def rake(cells: DataFrame, targets: list[dict[str, float] | None], temper: float = 0.7) -> DataFrame:
