@@ -29,9 +29,9 @@ class Frames:
 
     @staticmethod
     def of(rows, scenes=()) -> "Frames":
-        rows = list(rows or [])
+        rows = list(rows) if rows is not None else []
         get = lambda k: [r[k] for r in rows]
-        return Frames(np.array(get("ts"), float), np.array(get("h"), np.int64).view(np.uint64), np.array(get("mh"), np.int64).view(np.uint64), np.array(list(scenes or []), float))
+        return Frames(np.array(get("ts"), float), np.array(get("h"), np.int64).view(np.uint64), np.array(get("mh"), np.int64).view(np.uint64), np.array(list(scenes), float))
 
     def take(self, keep: np.ndarray) -> "Frames":
         return Frames(self.ts[keep], self.h[keep], self.mirror[keep], self.scenes)

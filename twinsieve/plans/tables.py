@@ -49,7 +49,8 @@ def later_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("id", F.when(moved, F.concat(F.lit("quarantine/"), "path")).otherwise(F.col("path")).alias("path"), "kind", F.when(poor, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "modified", "quick_hash", "sha256", "pixels", "duration")
 
 
-STATUS = F.when(F.col("l_returnflag") == "N", "SUCCESS").when(F.col("l_returnflag") == "R", "FAILED").otherwise("SKIPPED")
+def item_status():
+    return F.when(F.col("l_returnflag") == "N", "SUCCESS").when(F.col("l_returnflag") == "R", "FAILED").otherwise("SKIPPED")
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of an order as cases; several line items of one part are one case."""
     l = table(spark, sf_dir, "lineitem")
-    return l.groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_partkey").alias("case_id")).agg(F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("path"), F.min(STATUS).alias("status"), F.sum("l_quantity").alias("elapsed_ms"))
+    return l.groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_partkey").alias("case_id")).agg(F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("path"), F.min(item_status()).alias("status"), F.sum("l_quantity").alias("elapsed_ms"))
 
 
 def modes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +75,7 @@ def modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")
     asked = F.when(F.col("l_linestatus") == "O", "AUTO").otherwise("CPU")
     taken = F.when(F.month("l_shipdate") <= 6, "CPU").otherwise("CUDA")
-    return l.select(F.col("l_orderkey").alias("run_id"), F.col("l_partkey").alias("case_id"), asked.alias("requested_mode"), taken.alias("effective_mode"), STATUS.alias("status"), F.when(F.col("l_quantity") > 2, F.col("l_quantity") * F.col("l_discount") * 100).alias("elapsed_ms"))
+    return l.select(F.col("l_orderkey").alias("run_id"), F.col("l_partkey").alias("case_id"), asked.alias("requested_mode"), taken.alias("effective_mode"), item_status().alias("status"), F.when(F.col("l_quantity") > 2, F.col("l_quantity") * F.col("l_discount") * 100).alias("elapsed_ms"))
 
 
 def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:

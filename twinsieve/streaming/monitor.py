@@ -73,7 +73,8 @@ def _settle(stable_seconds: float, base_ms: int, max_retries: int):
                 state.update((size, modified, since, tries, due))
                 if since is not None:
                     state.setTimeoutTimestamp(int(max(since + stable_seconds, due) * 1000) + 1)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")]).astype({"size": "Int64", "modified": "Int64"})
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")]).astype({"size": "Int64", "modified": "Int64"})
 
     return step
 
