@@ -165,15 +165,11 @@ def _word_counts(train: DataFrame, n: int) -> DataFrame:
     return cut(_by_bucket(train.select("text").mapInArrow(count, "bucket int, h binary, c binary")).mapInArrow(merge, "bucket int, h binary, c binary, stats array<array<long>>"))
 
 
-def _stats(df: DataFrame, column: str = "stats") -> np.ndarray:
+def _stats(df: DataFrame, rows: int) -> np.ndarray:
     """Sums of a small matrix over the buckets; its size does not depend on the data."""
-    out = None
-    flat_rows = df.select(F.posexplode(column).alias("i", "row")).select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v")).collect()
-    if flat_rows:
-        out = np.zeros((max(r[0] for r in flat_rows) + 1, max(r[1] for r in flat_rows) + 1))
-        for i, j, v in flat_rows:
-            out[i, j] = v
-    return out if out is not None else np.zeros((6, LEVELS + 1))
+    wide = LEVELS + 1
+    got = df.agg(*[F.coalesce(F.sum(F.col("stats")[i][j]), F.lit(0)) for i in range(rows) for j in range(wide)]).first()
+    return np.array(got, float).reshape(rows, wide)
 
 
 def _segments(df: DataFrame) -> list[tuple[int, int, bytes]]:
@@ -245,13 +241,13 @@ def score(docs: DataFrame, held_out: F.Column, max_broadcast: int = MAX_BROADCAS
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
     train = own.where(~F.col("held_out"))
     counts = _word_counts(train, n)
-    w = _stats(counts)
+    w = _stats(counts, 2)
     types, total = int(w[0].sum()), int(w[1].sum())
     entries = float((w[0] * np.arange(w.shape[1])).sum())
     words_filter = sc.broadcast(LogFrequencyFilter(n, _segments(_word_filter(counts, min(BITS, 8 * max_broadcast / max(entries, 1))))))
     pair_rows = _pair_filter(train, n, words_filter)
-    s = _stats(pair_rows)
-    n1, n2 = s[4, 0] if len(s) > 4 else 0, s[4, 1] if len(s) > 4 else 0
+    s = _stats(pair_rows, 5)
+    n1, n2 = s[4, :2]
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.75
     model = {"word": _means(w[0], w[1]), "pair": _means(s[2], s[3]), "discount": discount, "back": np.where(s[1] > 0, discount * s[0] / np.maximum(s[1], 1), 1.0), "total": total, "types": types}
     size = pair_rows.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
