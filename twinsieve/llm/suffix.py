@@ -31,7 +31,7 @@ from .lm import BUCKETS, bucket_of
 
 GRAM = 20
 #: Bytes that a task holds before it sends them, and bytes whose suffixes are sorted at a time.
-HOLD, SORT = 24 << 20, 2 << 20
+HOLD, SORT = 6 << 20, 512 << 10
 MAX_FILTER = 32 << 20
 
 
@@ -121,23 +121,27 @@ def _key_counts(docs: DataFrame, n: int, least: int) -> DataFrame:
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Places in the order of their suffixes as far as the first 128 bytes tell."""
+    """Places in the order of their suffixes as far as the first 128 bytes tell; four bytes a place."""
     n = len(text)
     padded = np.concatenate((text, np.zeros(8, np.uint8)))
     key = np.zeros(n, np.uint64)
     for k in range(8):
-        key = key << np.uint64(8) | padded[k : n + k]
+        key <<= np.uint64(8)
+        key |= padded[k : n + k]
     width = 8
     while True:
-        order = np.argsort(key)
+        order = np.argsort(key).astype(np.int32)
         k = key[order]
-        rank = np.zeros(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([False], k[1:] != k[:-1])))
+        new = np.concatenate(([False], k[1:] != k[:-1]))
+        del k
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(new, dtype=np.int32)
         if width >= 128 or rank[order[-1]] == n - 1:
             return order
-        after = np.zeros(n, np.int64)
-        after[: max(n - width, 0)] = rank[width:] + 1
-        key = rank.view(np.uint64) * np.uint64(n + 1) + after.view(np.uint64)
+        del order, new
+        key = rank.astype(np.uint64)
+        key *= np.uint64(n + 1)
+        key[: max(n - width, 0)] += rank[width:].astype(np.uint64) + np.uint64(1)
         width *= 2
 
 
@@ -146,8 +150,8 @@ def repeated(text: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
     text = np.append(text, np.uint8(0))  # no window holds the last place
     n = len(text)
     order = suffix_array(text)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     first = text[order]
     # the suffix after each one's first byte: from an interval of w at these places extend the intervals of c + w
     after = place[np.minimum(order + 1, n - 1)]
@@ -156,10 +160,12 @@ def repeated(text: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
     ended = order == n - 1
     bounds |= ended
     bounds[1:] |= ended[:-1]
-    active = np.flatnonzero(~bounds)
+    del order, first, ended
+    active = np.flatnonzero(~bounds).astype(np.int32)
     left, right = after[active - 1], after[active]
+    del after
     for _ in range(1, least):
-        interval = np.cumsum(bounds)
+        interval = np.cumsum(bounds, dtype=np.int32)
         cut_here = interval[left] != interval[right]
         if cut_here.any():
             bounds[active[cut_here]] = True
@@ -167,7 +173,7 @@ def repeated(text: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
             active, left, right = active[keep], left[keep], right[keep]
         if not len(active):
             break
-    interval = np.cumsum(bounds)[place[starts]]
+    interval = np.cumsum(bounds, dtype=np.int32)[place[starts]]
     by = np.argsort(interval, kind="stable")
     out = np.zeros(len(starts), bool)
     out[by[1:]] = interval[by[1:]] == interval[by[:-1]]
