@@ -46,6 +46,21 @@ def test_url_rules(spark):
     assert urls.judge(pages.where("page_id < 0"), URL_RULES, block).count() == 0
 
 
+def test_every_page_of_a_listed_host_is_listed(spark, tmp_path, monkeypatch):
+    from twinsieve.llm.queries import LISTED_NAMES, op1_url_filter
+
+    ship(spark)
+    hosts = [f"{pre}{name}.example.{top}{port}" for pre, top, port in itertools.product(("", "www.", "m.", "Blog."), ("com", "net", "org"), ("", ":8080")) for name in (*LISTED_NAMES, "fine", "not-spam-farm")]
+    made = [f"http://{h}/{lang}/{k}{end}" for h, (lang, k, end) in itertools.product(hosts, (("en", 7, ""), ("de", 123_456, "?page=2"), ("es", 1000, ".html")))] + [None, "", "spam-farm.example.net"]
+    spark.createDataFrame(list(enumerate(made)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    listed = {u for u in made if u and any(f"/{name}." in u or f".{name}." in u for name in LISTED_NAMES)}
+    want = {k: (*judged(u, listed)[2:], u in listed) for k, u in enumerate(made)}
+    got = op1_url_filter(spark, str(tmp_path)).collect()
+    assert len(got) == len(made) and {r.page_id: (r.rule, r.verdict, r.listed) for r in got} == want
+    monkeypatch.setattr(urls, "MAX_BROADCAST_ROWS", 0)
+    assert {r.page_id: (r.rule, r.verdict, r.listed) for r in op1_url_filter(spark, str(tmp_path)).collect()} == want
+
+
 def test_lattice_decoder_is_nearest():
     x = np.random.default_rng(1).normal(size=(50, 8)) * 2
     c, n = embeddings.decode(x), embeddings.neighbours()
