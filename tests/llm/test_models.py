@@ -49,6 +49,15 @@ def test_shuffled_paths_give_the_same_numbers(docs, scored):
         assert abs(a.score - b.score) < 0.2 * abs(a.score) + 1
 
 
+@pytest.mark.parametrize("max_broadcast, head_size", [(1000, 0), (1000, 50), (1000, 1 << 20), (200_000, 50)])
+def test_scores_do_not_depend_on_what_is_broadcast(docs, scored, max_broadcast, head_size):
+    small = lm.score(docs, lm.fifth() == 1, max_broadcast=max_broadcast, head_size=head_size).collect()
+    assert len(small) == len(scored)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, round(r.base_score, 4))
+    for a, b in zip(sorted(scored, key=key), sorted(small, key=key)):
+        assert key(a) == key(b) and a.n_known == b.n_known and a.score == pytest.approx(b.score, rel=1e-9)
+
+
 def test_no_rows_and_no_training_rows(docs, none):
     from pyspark.sql import functions as F
 

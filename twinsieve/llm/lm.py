@@ -6,11 +6,12 @@ score interpolates by absolute discounting: P(w|h) = max(c(hw) - D, 0) / c(h) +
 counts, c the mean count of a level, and lambda the mass that D takes from contexts of the level of h, both measured.
 
 Counting sends arrays, not rows: a task sorts its hashes and sends each bucket one packed row, and a bucket is merged by
-one task at a time, `BUCKETS` of them to a shuffle partition. The filter is a segment to each bucket. While all segments
-have at most MAX_BROADCAST bytes they are broadcast; beyond that the pair probes travel to the segments in the same
-packed form, which gives the same numbers. The words' filter has at most MAX_BROADCAST bytes: with more words it gets
-fewer bits an entry. The base score is exact: the commonest words, HEAD at most, are broadcast with their counts, and
-the other words' hashes are joined with the count table by bucket.
+one task at a time, `BUCKETS` of them to a shuffle partition. A filter is a segment to each bucket, with BITS bits an
+entry at any size. While all segments have at most MAX_BROADCAST bytes they are broadcast; beyond that the probes travel
+to the segments in the same packed form, which gives the same numbers, for pairs and for words. The commonest words,
+HEAD at most, are broadcast with their counts and levels, so only the others' probes travel: first to the word's
+segment, then to its context's, then to the pair's. The base score is exact: the hashes of words beyond the commonest
+are joined with the count table by bucket.
 
 Words are told apart by 64-bit hashes. Null and blank texts have one token, the end. Null ids hash as the empty text (a
 training row) and stay null. Repeated rows are rows; an empty table gives an empty result; other columns are ignored.
@@ -29,6 +30,8 @@ from .common import cut, flat, mix, slices, words
 BUCKETS, HEAD, LEVELS = 4, 1 << 20, 48
 BITS, PROBES = 12, 8
 MAX_BROADCAST = 128 << 20
+#: A level that only the word's segment tells.
+UNKNOWN = np.uint8(255)
 END = np.uint64(0x2545F4914F6CDD1D)
 _G = np.uint64(0x9E3779B97F4A7C15)
 _MERGE = 1 << 22
@@ -176,36 +179,102 @@ def _segments(df: DataFrame) -> list[tuple[int, int, bytes]]:
     return [(r[0], r[1], bytes(r[2])) for r in df.select("bucket", "k", "bits").toLocalIterator()]
 
 
-def _word_filter(counts: DataFrame, bits: float) -> DataFrame:
+def _word_filter(counts: DataFrame, n: int, least: int) -> DataFrame:
+    """Segments, and the hashes, counts and filter levels of the words of level `least` or more."""
+
     def build(batches):
         for batch in batches:
             for bucket, h, c in zip(batch["bucket"].to_pylist(), batch["h"], batch["c"]):
-                k, raw = LogFrequencyFilter.segment(np.frombuffer(h.as_buffer(), np.uint64), levels_of(np.frombuffer(c.as_buffer(), np.int64)), bits)
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([k], pa.int32()), pa.array([raw], pa.binary())], names=["bucket", "k", "bits"])
+                h, c = np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int64)
+                q = levels_of(c)
+                k, raw = LogFrequencyFilter.segment(h, q, BITS)
+                h, c = h[q >= least], c[q >= least]
+                level = LogFrequencyFilter(n, [(bucket, k, raw)]).of(h)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([k], pa.int32()), *[pa.array([x], pa.binary()) for x in (raw, h.tobytes(), c.tobytes(), level.tobytes())]], names=["bucket", "k", "bits", "h", "c", "q"])
+
+    return cut(counts.select("bucket", "h", "c").mapInArrow(build, "bucket int, k int, bits binary, h binary, c binary, q binary"))
+
+
+class WordLevels:
+    """Levels of words by the broadcast filter or, without one, of the commonest words; others are UNKNOWN."""
+
+    def __init__(self, sieve, head) -> None:
+        self.sieve, self.head = sieve, head
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        if self.sieve is not None:
+            return self.sieve.value.of_repeated(h)
+        hh, _, hq = self.head.value
+        if not len(hh):
+            return np.full(len(h), UNKNOWN)
+        at = np.minimum(np.searchsorted(hh, h), len(hh) - 1)
+        return np.where(hh[at] == h, hq[at], UNKNOWN)
+
+
+def _before(tokens: np.ndarray) -> np.ndarray:
+    """The context of each token."""
+    return np.concatenate(([END], tokens[:-1]))
+
+
+def _batch(columns: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _told(questions: DataFrame, word_rows: DataFrame, n: int, names: list[str], kinds: list, send, schema: str) -> DataFrame:
+    """The packed columns `names` of numbers, by the bucket of the hashes in the first, with the levels of those hashes as
+    a last column, as `send` packs _MERGE of them at a time."""
+    table = word_rows.select("bucket", F.lit(0).alias("tag"), F.col("bits").alias(names[0]), *[F.lit(None).cast("binary").alias(x) for x in names[1:]])
+
+    def tell(batches):
+        at, own, held, size = None, None, [], 0
+        for batch in batches:
+            for bucket, tag, *row in zip(batch["bucket"].to_pylist(), batch["tag"].to_pylist(), *(batch[x] for x in names)):
+                if tag == 0:
+                    at, own = bucket, LogFrequencyFilter(n, [(bucket, PROBES, row[0].as_buffer().to_pybytes())])
+                    continue
+                row = [np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, kinds)]
+                held.append([*row, own.of_repeated(row[0]) if at == bucket else np.zeros(len(row[0]), np.uint8)])
+                size += len(row[0])
+                if size >= _MERGE:
+                    yield from send(*map(np.concatenate, zip(*held)))
+                    held, size = [], 0
+        if held:
+            yield from send(*map(np.concatenate, zip(*held)))
 
-    return counts.select("bucket", "h", "c").mapInArrow(build, "bucket int, k int, bits binary")
+    return _by_bucket(questions.select("bucket", F.lit(1).alias("tag"), *names).unionByName(table)).mapInArrow(tell, schema)
 
 
-def _pair_filter(train: DataFrame, n: int, sieve) -> DataFrame:
+def _pair_filter(train: DataFrame, n: int, levels: WordLevels, word_rows: DataFrame) -> DataFrame:
     """Segments and, by the level of the context, types and tokens; by the level of the pair the same; counts of counts."""
 
+    def packed(h, c, q):
+        h, c, q = _fold(h, c, q)
+        return _packed(n, h, c.astype(np.uint32), q)
+
     def count(batches):
         held, size = [], 0
 
         def send():
-            h, c, q = _fold(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]))
-            return pa.RecordBatch.from_arrays(_packed(n, h, c.astype(np.uint32), q), names=["bucket", "h", "c", "q"])
+            h, c, x = _fold(*(np.concatenate([y[k] for y in held]) for k in range(3)))
+            q = levels.of(x)
+            known = q != UNKNOWN
+            rows = _packed(n, h[known], c[known].astype(np.uint32), q[known])
+            yield _batch([rows[0], pa.nulls(len(rows[0]), pa.binary()), *rows[1:]], ["bucket", "x", "h", "c", "q"])
+            if not known.all():
+                order = np.flatnonzero(~known)
+                order = order[np.argsort(x[order])]
+                rows = _packed(n, x[order], h[order], c[order].astype(np.uint32))
+                yield _batch([*rows, pa.nulls(len(rows[0]), pa.binary())], ["bucket", "x", "h", "c", "q"])
 
         for batch in batches:
             for _, tokens, _ in stream(batch["text"]):
-                q = sieve.value.of_repeated(tokens)
-                held.append((pairs(tokens), np.ones(len(tokens), np.int64), np.concatenate((sieve.value.of(np.array([END])), q[:-1]))))
+                held.append((pairs(tokens), np.ones(len(tokens), np.int64), _before(tokens)))
                 size += len(tokens)
                 if size >= _MERGE:
-                    yield send()
+                    yield from send()
                     held, size = [], 0
         if held:
-            yield send()
+            yield from send()
 
     def merge(batches):
         for bucket, rows in _grouped(batches, ["h", "c", "q"]):
@@ -218,7 +287,12 @@ def _pair_filter(train: DataFrame, n: int, sieve) -> DataFrame:
             stats = [np.bincount(ctx, minlength=wide), np.bincount(ctx, c, minlength=wide), np.bincount(q, minlength=wide), np.bincount(q, c, minlength=wide), ones]
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([k], pa.int32()), pa.array([raw], pa.binary()), pa.array([np.array(stats).astype(np.int64).tolist()], pa.list_(pa.list_(pa.int64())))], names=["bucket", "k", "bits", "stats"])
 
-    return cut(_by_bucket(train.select("text").mapInArrow(count, "bucket int, h binary, c binary, q binary")).mapInArrow(merge, "bucket int, k int, bits binary, stats array<array<long>>"))
+    counted = train.select("text").mapInArrow(count, "bucket int, x binary, h binary, c binary, q binary")
+    if levels.sieve is None:
+        counted = cut(counted)
+        told = _told(counted.where("x is not null"), word_rows, n, ["x", "h", "c"], [np.uint64, np.uint64, np.uint32], lambda x, h, c, q: [_batch(packed(h, c.astype(np.int64), q), ["bucket", "h", "c", "q"])], "bucket int, h binary, c binary, q binary")
+        counted = counted.where("x is null").select("bucket", "h", "c", "q").unionByName(told)
+    return cut(_by_bucket(counted.select("bucket", "h", "c", "q")).mapInArrow(merge, "bucket int, k int, bits binary, stats array<array<long>>"))
 
 
 def _means(types: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -244,39 +318,34 @@ def score(docs: DataFrame, held_out: F.Column, max_broadcast: int = MAX_BROADCAS
     w = _stats(counts, 2)
     types, total = int(w[0].sum()), int(w[1].sum())
     entries = float((w[0] * np.arange(w.shape[1])).sum())
-    words_filter = sc.broadcast(LogFrequencyFilter(n, _segments(_word_filter(counts, min(BITS, 8 * max_broadcast / max(entries, 1))))))
-    pair_rows = _pair_filter(train, n, words_filter)
+    least = next(q for q in range(1, LEVELS + 2) if w[0][q:].sum() <= head_size)
+    word_rows = _word_filter(counts, n, least)
+    got = list(word_rows.select("h", "c", "q").toLocalIterator())  # `head_size` words at most
+    hs, cs, qs = (np.frombuffer(b"".join(bytes(r[k]) for r in got), kind) for k, kind in enumerate((np.uint64, np.int64, np.uint8)))
+    order = np.argsort(hs)
+    head = sc.broadcast((hs[order], cs[order], qs[order]))
+    words_filter = sc.broadcast(LogFrequencyFilter(n, _segments(word_rows))) if entries * BITS / 8 <= max_broadcast else None
+    levels = WordLevels(words_filter, head)
+    pair_rows = _pair_filter(train, n, levels, word_rows)
     s = _stats(pair_rows, 5)
     n1, n2 = s[4, :2]
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.75
     model = {"word": _means(w[0], w[1]), "pair": _means(s[2], s[3]), "discount": discount, "back": np.where(s[1] > 0, discount * s[0] / np.maximum(s[1], 1), 1.0), "total": total, "types": types}
     size = pair_rows.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
-    pair_filter = sc.broadcast(LogFrequencyFilter(n, _segments(pair_rows))) if size <= max_broadcast else None
-    least = next(q for q in range(1, LEVELS + 2) if w[0][q:].sum() <= head_size)
-
-    def common(batches):
-        for batch in batches:
-            for h, c in zip(batch["h"], batch["c"]):
-                h, c = np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int64)
-                keep = levels_of(c) >= least
-                yield pa.RecordBatch.from_arrays([pa.array([h[keep].tobytes()], pa.binary()), pa.array([c[keep].tobytes()], pa.binary())], names=["h", "c"])
-
-    got = list(counts.select("h", "c").mapInArrow(common, "h binary, c binary").toLocalIterator())  # `head_size` words at most
-    hs, cs = np.frombuffer(b"".join(bytes(r[0]) for r in got), np.uint64), np.frombuffer(b"".join(bytes(r[1]) for r in got), np.int64)
-    order = np.argsort(hs)
-    head = sc.broadcast((hs[order], cs[order]))
+    pair_filter = sc.broadcast(LogFrequencyFilter(n, _segments(pair_rows))) if size <= max_broadcast and words_filter else None
     floor = total + 0.5 * (types + 1)
     rest_of = types > len(hs)
-    schema = "bucket int, tag int, rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, a binary, b binary, c binary, d binary"
-    kinds = {"bucket": pa.int32(), "tag": pa.int32(), "rid": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "model": pa.float64(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary(), "d": pa.binary()}
+    schema = "bucket int, tag int, rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, a binary, b binary, c binary, d binary, e binary, f binary"
+    kinds = {"bucket": pa.int32(), "tag": pa.int32(), "rid": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "model": pa.float64(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary(), "d": pa.binary(), "e": pa.binary(), "f": pa.binary()}
 
     def rows(**columns) -> pa.RecordBatch:
         many = len(next(iter(columns.values())))
         return pa.RecordBatch.from_arrays([columns[k].cast(t) if k in columns else pa.nulls(many, t) for k, t in kinds.items()], names=list(kinds))
 
     def read(batches):
-        """A row for each document (tag 0), and packed questions to the count table (1) and to the pair filter (2)."""
-        hh, hc = head.value
+        """A row for each document (tag 0), and packed questions to the count table (1), to the pair filter
+        (2), and before that to the segments of words (3) and of their contexts (4) with levels that are not known here."""
+        hh, hc, _ = head.value
         for batch in batches:
             for lo, tokens, begins in stream(batch["text"]):
                 many = len(begins) - 1
@@ -288,8 +357,8 @@ def score(docs: DataFrame, held_out: F.Column, max_broadcast: int = MAX_BROADCAS
                 asked = (c == 0) if rest_of else np.zeros(len(u), bool)
                 base = np.bincount(of, np.where(asked, 0.0, np.log10((c + 0.5) / floor))[back], many)
                 known = np.bincount(of, (c > 0)[back], many)
-                q = words_filter.value.of(u)[back]
-                ctx = np.concatenate((words_filter.value.of(np.array([END])), q[:-1]))
+                q = levels.of(u)[back]
+                ctx = np.concatenate((levels.of(np.array([END])), q[:-1]))
                 hashes = pairs(tokens)
                 model_score = np.bincount(of, _log_p(model, q, ctx, pair_filter.value.of_repeated(hashes)), many) if pair_filter else np.zeros(many)
                 yield rows(tag=pa.array(np.zeros(many, np.int32)), rid=pa.array(rid), doc_id=batch["doc_id"].slice(lo, many), held_out=batch["held_out"].slice(lo, many), n_tokens=pa.array(np.diff(begins)), n_known=pa.array(known.astype(np.int64)), base=pa.array(base), model=pa.array(model_score))
@@ -299,9 +368,17 @@ def score(docs: DataFrame, held_out: F.Column, max_broadcast: int = MAX_BROADCAS
                     b, h, r = _packed(n, tokens[ask], rid[of[ask]])
                     yield rows(bucket=b, tag=pa.array(np.ones(len(b), np.int32)), a=h, b=r)
                 if pair_filter is None:
-                    o = np.argsort(hashes)
-                    b, h, r, x, y = _packed(n, hashes[o], rid[of[o]], q[o], ctx[o])
-                    yield rows(bucket=b, tag=pa.array(np.full(len(b), 2, np.int32)), a=h, b=r, c=x, d=y)
+                    yield from questions(hashes, rid[of], q, ctx, tokens, _before(tokens))
+
+    def questions(hashes, rid, q, ctx, word, before):
+        """Each to the segment that it needs next: of the word, of its context, or of the pair."""
+        for tag, at, which in ((3, word, q == UNKNOWN), (4, before, (q != UNKNOWN) & (ctx == UNKNOWN)), (2, hashes, (q != UNKNOWN) & (ctx != UNKNOWN))):
+            o = np.flatnonzero(which)
+            if len(o):
+                o = o[np.argsort(at[o])]
+                more = {} if tag == 2 else {"e": word[o], "f": before[o]}
+                b, _, *packed = _packed(n, at[o], hashes[o], rid[o], q[o], ctx[o], *more.values())
+                yield rows(bucket=b, tag=pa.array(np.full(len(b), tag, np.int32)), **dict(zip(["a", "b", "c", "d", *more], packed)))
 
     def sums(rid: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
         u, back = np.unique(rid, return_inverse=True)
@@ -335,13 +412,24 @@ def score(docs: DataFrame, held_out: F.Column, max_broadcast: int = MAX_BROADCAS
     asked = cut(own.select(F.monotonically_increasing_id().alias("rid"), "*").mapInArrow(read, schema))
     out = asked.where("tag = 0").select("rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "model")
     if rest_of:
-        questions = asked.where("tag = 1").select("bucket", "tag", "a", "b")
-        answers = _by_bucket(questions.unionByName(counts.select("bucket", F.lit(0).alias("tag"), F.col("h").alias("a"), F.col("c").alias("b")))).mapInArrow(look_up, "rid long, base double, n_known double")
+        of_counts = asked.where("tag = 1").select("bucket", "tag", "a", "b")
+        answers = _by_bucket(of_counts.unionByName(counts.select("bucket", F.lit(0).alias("tag"), F.col("h").alias("a"), F.col("c").alias("b")))).mapInArrow(look_up, "rid long, base double, n_known double")
         out = out.join(answers.groupBy("rid").agg(F.sum("base").alias("_b"), F.sum("n_known").alias("_k")), "rid", "left").withColumn("base", F.col("base") + F.coalesce("_b", F.lit(0.0))).withColumn("n_known", F.col("n_known") + F.coalesce("_k", F.lit(0.0)).cast("long")).drop("_b", "_k")
     if pair_filter is None:
-        questions = asked.where("tag = 2").select("bucket", "tag", "a", "b", "c", "d")
+        of_pairs = asked.where("tag = 2").select("bucket", "tag", "a", "b", "c", "d")
+        if words_filter is None:
+            kinds_of = {"a": np.uint64, "b": np.int64, "c": np.uint8, "d": np.uint8, "e": np.uint64, "f": np.uint64}
+
+            def told(df: DataFrame, first: str, send) -> DataFrame:
+                names = [first, *(k for k in kinds_of if k != first)]
+                return _told(df, word_rows, n, names, [kinds_of[k] for k in names], send, schema)
+
+            of_words = cut(told(asked.where("tag = 3"), "e", lambda word, h, r, _, ctx, before, q: questions(h, r, q, ctx, word, before)))
+            of_contexts = told(asked.where("tag = 4").unionByName(of_words.where("tag = 4")), "f", lambda before, h, r, q, _, word, ctx: questions(h, r, q, ctx, word, before))
+            for more in (of_words.where("tag = 2"), of_contexts):
+                of_pairs = of_pairs.unionByName(more.select(*of_pairs.columns))
         table = pair_rows.select("bucket", F.lit(1).alias("tag"), F.col("bits").alias("a"), *[F.lit(None).cast("binary").alias(k) for k in "bcd"])
-        answers = _by_bucket(questions.unionByName(table)).mapInArrow(probe, "rid long, model double")
+        answers = _by_bucket(of_pairs.unionByName(table)).mapInArrow(probe, "rid long, model double")
         out = out.join(answers.groupBy("rid").agg(F.sum("model").alias("_m")), "rid", "left").withColumn("model", F.coalesce("_m", F.lit(0.0))).drop("_m")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"))
 
