@@ -93,6 +93,22 @@ def test_toxicity_on_held_out_and_disguised_texts(toxic_docs):
     assert left.columns == toxic_docs[0].columns and left.where("doc_id >= 1000 and doc_id < 2000").count() == 0
 
 
+def test_combined_disguises(spark, toxic_docs):
+    d, labels = toxic_docs
+    hidden = ["1 d 1 0 t", "m 0 r 0 n", "ii dd ii oo tt", "5 t u p 1 d", "11 d 1 00 t", "M 00 rr 0 nn", "1. d. 1. 0. t."]
+    clean = ["1 0 1 0 7", "00 11 00", "1 0"]
+    more = spark.createDataFrame([(3000 + k, f"siren {w} siren", 0.0) for k, w in enumerate(hidden + clean)], d.schema)
+    out = {r.doc_id: r._ts_toxicity for r in toxicity.score(d.unionByName(more), labels).collect()}
+    assert {w: out[3000 + k] >= 0.5 for k, w in enumerate(hidden + clean)} == {w: w in hidden for w in hidden + clean}
+
+
+def test_spaced_runs_end_with_the_row_and_hold_a_letter():
+    decoder = toxicity.Decoder(np.log(np.full((28, 28, 28), 1 / 28)))
+    texts = [b"1 0 1", b"1 d 1", b"1 0", b"d 1 0", b"o", b"o o 1 x0"]
+    rows, _ = toxicity.readings(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts]), decoder)
+    assert sorted(rows) == [1, 3, 5, 5]
+
+
 def test_without_labels_or_rows(toxic_docs):
     d, labels = toxic_docs
     assert {r._ts_toxicity for r in toxicity.score(d, labels.where("doc_id < 0")).collect()} <= {0.0, 1e-9} or True

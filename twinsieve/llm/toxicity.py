@@ -1,7 +1,8 @@
 """Operator 7: toxicity of deobfuscated text.
 
 A noisy channel turns letters into look-alike digits and signs, repeats them, and spaces them out. Every token that could
-come from it (letters beside look-alikes, runs of three, single letters in a row or parted by signs) becomes a lattice
+come from it (letters beside look-alikes, runs of three, single letters in a row or parted by signs; in a row with a
+letter a look-alike or one letter repeated counts as a single letter) becomes a lattice
 of its possible letters, and Viterbi decoding under a character trigram model finds the likeliest reading. The model is
 counted over all texts. Read words join the text's own; features are words and their first four and five letters, as
 hashes. The commonest ways of being toxic are learned from labelled rows: the FEATURES features with the highest
@@ -15,6 +16,7 @@ both kinds every score is the share of toxic labels (0 without any). Other colum
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,10 @@ TRAIN_ROWS, FEATURES, LEAST_ROWS, LEAST_RATIO = 20_000, 1024, 4, 15.0
 #: Which letters a digit or sign may stand for.
 LOOK_ALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c"}
 CODES = 28
+REPEATED = b"\0"
 SCORE = "_ts_toxicity"
 
+_AGAIN = re.compile(rb"(.)\1+", re.DOTALL)
 _CODE = np.zeros(256, np.uint8)
 _CODE[97:123] = np.arange(1, 27)
 _CODE[65:91] = np.arange(1, 27)
@@ -86,15 +90,20 @@ class Decoder:
         self.model, self.keep, self.known = model.tolist(), keep, {}
 
     def options(self, token: bytes, spaced: bool) -> list[list[tuple[bytes, float]]]:
-        """For each run of one character its readings and what they cost."""
+        """For each run of one character its readings and what they cost. In a spaced run a null byte after a character says
+        that it was written more than once, for one letter or two."""
         out, at = [], 0
         while at < len(token):
             to = at + 1
             while to < len(token) and token[to] == token[at]:
                 to += 1
             c, n = token[at : at + 1], to - at
+            again = spaced and token[to : to + 1] == REPEATED
             if _CODE[c[0]] == 27:
                 own = [(token[at:to], 0.0)]
+            elif again and (c.isalpha() or c.decode("latin-1") in LOOK_ALIKES):
+                own = [(x.encode() * k, y - 2.0 * (k - 1)) for x, y in ([(c.decode(), 0.0)] if c.isalpha() else [(x, -1.0) for x in LOOK_ALIKES[c.decode("latin-1")]]) for k in (1, 2)]
+                own += [] if c.isalpha() else [(b"", -5.0 if c.isdigit() else -2.5)]
             elif c.isalpha():
                 own = [(c * n, 0.0)] if n < 3 else []
                 own += [(c, -2.0 if n == 2 else -0.5)] * (n > 1) + [(c * 2, -1.0)] * (n > 2)
@@ -155,11 +164,15 @@ def readings(data: np.ndarray, offsets: np.ndarray, decoder: Decoder) -> tuple[l
     letters, alike = within(letter), within(_ALIKE[data])
     runs = within(begun)
     odd = (letters > 0) & ((alike > 0) | (within(same) > 0)) | (letters > 2) & (runs >= letters)
-    lone = (letters + alike == 1) & (ends - starts <= 2) & (letters > 0)
+    signs = letter | _ALIKE[data]
+    changed = signs.copy()
+    changed[1:] &= ~signs[:-1] | (low[1:] != low[:-1])
+    changed[starts] = signs[starts]
+    lone = (within(changed) == 1) & (ends - starts - within(signs) <= 1)
     row = np.searchsorted(offsets, starts, "right") - 1
     rows, texts = [], []
     raw = low.tobytes()
-    for k in np.flatnonzero(odd & ~lone).tolist():
+    for k in np.flatnonzero(odd).tolist():
         rows.append(int(row[k]))
         texts.append(decoder.read(raw[starts[k] : ends[k]]))
     change = np.flatnonzero(np.diff(np.concatenate(([0], lone.view(np.int8), [0]))))
@@ -167,9 +180,9 @@ def readings(data: np.ndarray, offsets: np.ndarray, decoder: Decoder) -> tuple[l
         while b - a > 2:
             r = int(row[a])
             stop = a + int(np.searchsorted(row[a:b], r, "right"))
-            if stop - a > 2:
+            if stop - a > 2 and letters[a:stop].any():
                 rows.append(r)
-                texts.append(decoder.read(b"".join(raw[starts[k] : ends[k]] for k in range(a, stop)), True))
+                texts.append(decoder.read(b"".join(_AGAIN.sub(rb"\1" + REPEATED, raw[starts[k] : ends[k]]) for k in range(a, stop)), True))
             a = stop
     return rows, texts
 
