@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import pyarrow as pa
 
 from twinsieve.llm import exact, near, suffix
@@ -131,3 +132,35 @@ def test_repeated_passages(docs, rows, none):
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect())
     assert got == Counter(removed(rows))
     assert suffix.remove_repeats(none).count() == 0
+
+
+def long_repeats():
+    """Blocks with one beginning of 160 bytes and a few endings, in any order."""
+    rng = np.random.default_rng(9)
+    begin, *ends = (rng.integers(97, 123, n).astype(np.uint8).tobytes() for n in (160, *[60] * 4))
+    return [begin + ends[k] for k in rng.integers(0, 4, 24)]
+
+
+def test_windows_longer_than_128_bytes():
+    text = np.frombuffer(b"".join(long_repeats()), np.uint8)
+    for least in (129, 170, 300):
+        starts, seen, want = np.arange(len(text) - least + 1), set(), []
+        for s in starts:
+            w = text[s : s + least].tobytes()
+            want.append(w in seen)
+            seen.add(w)
+        assert suffix.repeated(text, starts, least).tolist() == want
+
+
+@pytest.mark.parametrize("least", [21, 200])
+def test_repeated_passages_of_other_lengths(spark, least):
+    rng = np.random.default_rng(10)
+    rows = [(k, (rng.integers(97, 123, 30).astype(np.uint8).tobytes() + b).decode()) for k, b in enumerate(long_repeats())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(docs, least).collect())
+    assert got == Counter(removed(rows, least))
+
+
+def test_least_must_be_longer_than_the_strings_looked_up(docs):
+    with pytest.raises(ValueError):
+        suffix.remove_repeats(docs, suffix.GRAM)

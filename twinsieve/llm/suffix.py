@@ -120,8 +120,8 @@ def _key_counts(docs: DataFrame, n: int, least: int) -> DataFrame:
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(twice, "h long")
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Places in the order of their suffixes as far as the first 128 bytes tell; four bytes a place."""
+def suffix_array(text: np.ndarray, least: int) -> np.ndarray:
+    """Places in the order of their suffixes as far as the first `least` bytes tell, or more; four bytes a place."""
     n = len(text)
     padded = np.concatenate((text, np.zeros(8, np.uint8)))
     key = np.zeros(n, np.uint64)
@@ -136,7 +136,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         del k
         rank = np.empty(n, np.int32)
         rank[order] = np.cumsum(new, dtype=np.int32)
-        if width >= 128 or rank[order[-1]] == n - 1:
+        if width >= least or rank[order[-1]] == n - 1:
             return order
         del order, new
         key = rank.astype(np.uint64)
@@ -149,7 +149,7 @@ def repeated(text: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
     """Which of the window starts have an equal window at an earlier one."""
     text = np.append(text, np.uint8(0))  # no window holds the last place
     n = len(text)
-    order = suffix_array(text)
+    order = suffix_array(text, least)
     place = np.empty(n, np.int32)
     place[order] = np.arange(n, dtype=np.int32)
     first = text[order]
@@ -315,7 +315,10 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def remove_repeats(docs: DataFrame, least: int = 100) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the text that is left) for each row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the text that is left) for each row; `least` is more than
+    GRAM, else there is a ValueError."""
+    if least <= GRAM:
+        raise ValueError(f"least is {least}, but repeats are found by strings of {GRAM} bytes and must be longer")
     own = docs.select(F.monotonically_increasing_id().alias("_rid"), order_id().alias("_oid"), "text")
     found = cut(spans(own, least).groupBy("_rid").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e")))
 
