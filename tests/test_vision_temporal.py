@@ -3,6 +3,7 @@
 import struct
 
 import numpy as np
+import pytest
 
 from twinsieve.functions import temporal as t
 from twinsieve.functions import vision as v
@@ -103,3 +104,18 @@ def test_quick_hash_on_rows(spark):
     rows = [(b"",), (b"abc",), (bytes(range(256)) * 3,), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "content binary").select(v.quick_hash("content")).collect()]
     assert got == [str(v.fnv1a(r[0])) if r[0] is not None else None for r in rows]
+
+
+def test_alignment_blends_thumbs_where_both_sides_have_them():
+    rng = np.random.default_rng(6)
+    thumbs = rng.integers(1, 256, (4, 48, 48)).astype(np.uint8)
+    rows = lambda z: [{"ts": float(k), "h": 4096 + 77 * k, "mh": 0, **({} if z is None else {"thumb": z[k].tobytes()})} for k in range(4)]
+    score = lambda a, b: t.video_similarity(t.Frames.of(rows(a)), t.Frames.of(rows(b)))
+    other = rng.integers(1, 256, (4, 48, 48)).astype(np.uint8)
+    assert score(thumbs, thumbs) > 99.9 and score(thumbs, thumbs[:, :, ::-1]) > 99.9
+    assert score(thumbs, other) < 50
+    assert score(thumbs, None) == score(None, None) == score(thumbs, np.zeros_like(other)) == 100.0
+    half = np.where(np.arange(4)[:, None, None] < 2, thumbs, 0).astype(np.uint8)
+    assert score(half, other) == pytest.approx(50.0, abs=1e-6)
+    frame = t.blended(np.array([[95.0]]), *(t.Frames.of(rows(z)[:1]) for z in (thumbs, other)), 90.0)
+    assert frame[0, 0] == pytest.approx(0.4 * 95 + 60 * max(v.ssim(thumbs[0], other[0]), v.ssim(thumbs[0], other[0][:, ::-1])))
