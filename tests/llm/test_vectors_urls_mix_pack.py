@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -210,3 +211,75 @@ def test_pipeline(spark, docs, empty, tmp_path):
     for r in out:
         by[r.sequence_id] += r.length
     assert all(n <= 1024 for n in by.values())
+
+
+def kept_by_brute_force(rows):
+    """Of each component of texts with a Jaccard similarity of 0.75 or more over shingles of five words, the smallest id."""
+    sets = []
+    for r in rows:
+        w = (r.text or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else []))
+    home = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if home[i] != home[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and sets[i] and sets[j]:
+            a, b = home[i], home[j]
+            home = [a if x == b else x for x in home]
+    first = {}
+    for k in sorted(range(len(rows)), key=lambda k: rows[k].doc_id):
+        first.setdefault(home[k], k)
+    return [rows[k] for k in first.values()]
+
+
+def test_no_stage_of_the_pipeline_loses_rows(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from twinsieve.llm import toxicity
+
+    ship(spark)
+    folder = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    given, got = [], []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        given.append((docs, docs.collect()))
+        stage(spark, docs, folder).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        got.append(docs.collect())
+    assert all(len({r.doc_id for r in rows}) == len(rows) > 20 for _, rows in given)
+    score = {r.doc_id: r._ts_toxicity for r in toxicity.score(given[0][0], labels).collect()}
+    assert Counter(got[0]) == Counter(r for r in given[0][1] if score[r.doc_id] < 0.5)
+    first = {}
+    for r in sorted(given[1][1], key=lambda r: r.doc_id):
+        first.setdefault(re.sub("[\t-\r ]+", " ", r.text or ""), r)
+    assert Counter(got[1]) == Counter(first.values())
+    assert Counter(got[2]) == Counter(kept_by_brute_force(given[2][1]))
+    taken = {r.doc_id for r in mixing.weighed(given[3][0]).collect() if r._ts_in}
+    assert Counter(got[3]) == Counter(r for r in given[3][1] if r.doc_id in taken)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    want = Counter()
+    for r in given[4][1]:
+        ids = t.encode(r.text or "", add_special_tokens=False).ids + [2]
+        edges = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
+        want.update((r.doc_id, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(itertools.pairwise(edges)))
+    pieces = lambda rows: Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    assert pieces(got[4]) == want == pieces(corpus_pipeline.run(spark, folder).collect())
+
+
+def test_sql_twins_on_odd_rows(spark, docs, tmp_path):
+    import duckdb
+
+    from twinsieve.llm import queries
+
+    ship(spark)
+    folder = str(tmp_path)
+    odd = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900 + k, t) for k, t in enumerate(["a\x0bb", "a \n b", "a\xa0b", " a b", "a b", "a\x1fb"])], "doc_id long, text string"))
+    odd.write.parquet(f"{folder}/documents.parquet")
+    made = [None, "", "x", "http://com", "HTTP://Free-Bets.example.net:443/en/1.html?x#y", "https://m.free-bets.example.net/en/1/", "http://a.b.adult-x.org:80/a\nb/", "http://net/es/", "http://www.example.com/en/", "http://www.example.com/en/"]
+    spark.createDataFrame([(k if k % 3 else None, u) for k, u in enumerate(made)], "page_id long, url string").write.parquet(f"{folder}/pages.parquet")
+    with duckdb.connect() as db:
+        for name, of in (("op1_url_filter", "pages"), ("op8_polynomial_exact_dedup", "documents")):
+            db.sql(f"CREATE VIEW {of} AS SELECT * FROM '{folder}/{of}.parquet/*.parquet'")
+            out, twin = queries.queries()[name](spark, folder), db.sql(queries.oracle_sql()[name])
+            assert out.columns == twin.columns and Counter(map(tuple, out.collect())) == Counter(twin.fetchall())

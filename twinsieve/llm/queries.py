@@ -100,4 +100,25 @@ def _pipeline() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the operators that neither learn, rake, pack nor search by similarity."""
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+    names = ", ".join(f"'{x}'" for x in LISTED_NAMES)
+    return {
+        "op1_url_filter": rf"""
+WITH parts AS (SELECT page_id,
+       translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+       coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+     urls AS (SELECT *, regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^(www|m)\.', '') || regexp_replace(path, '(\.html?)?/*$', '') AS canonical FROM parts),
+     listed_urls AS (SELECT DISTINCT canonical FROM urls WHERE list_has_any(regexp_split_to_array(host, '[.:]'), [{names}])),
+     rules(verdict, host, prefix) AS (VALUES {rules})
+SELECT u.page_id, u.host, u.path, r.rule, coalesce(r.verdict, CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, l.canonical IS NOT NULL AS listed
+FROM urls u LEFT JOIN listed_urls l ON u.canonical = l.canonical
+LEFT JOIN LATERAL (SELECT x.host || x.prefix AS rule, x.verdict FROM rules x
+                   WHERE (u.host = x.host OR ends_with(u.host, '.' || x.host)) AND starts_with(u.path, x.prefix)
+                   ORDER BY length(x.host || x.prefix) DESC, rule DESC, x.verdict DESC LIMIT 1) r ON true""",
+        "op8_polynomial_exact_dedup": r"""
+WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\t\n\x0B\f\r ]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
+FROM n WINDOW same AS (PARTITION BY text_sha256)""",
+    }
