@@ -29,7 +29,7 @@ def test_probe_in_order(spark):
 
 
 @pytest.mark.parametrize("strategy", ["theta", "bands", "slices"])
-@pytest.mark.parametrize("d", [0, 2, 8])
+@pytest.mark.parametrize("d", [0, 2, 8, 11, 14])
 def test_recall_is_one(spark, strategy, d):
     rows = [(i, 0x9E3779B97F4A7C15 * i ^ (i << 17)) for i in range(96)]
     rng = random.Random(5)

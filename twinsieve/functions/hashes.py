@@ -104,11 +104,18 @@ def hex16(h: Column | str) -> Column:
     return F.lpad(F.lower(F.hex(col(h))), 16, "0")
 
 
-def simhash60(tokens: Column, weights: Column) -> list[Column]:
-    """Sixty aggregates of weighted bit votes over a token's digest; see `fingerprint_of`."""
+def simhash60(tokens: Column) -> list[Column]:
+    """Thirty aggregates that count, over all tokens, the set bits of a 60-bit digest; see `fingerprint_of`.
+
+    One sum counts two bits, i in its low half and i + 30 in its high half: a text of 2 GB has under 2^30 tokens, so neither
+    half overflows. All sums of a text fold within its task."""
     digest = F.conv(F.substring(F.md5(tokens), 1, 15), 16, 10).cast("long")
-    return [F.sum(F.when(F.shiftrightunsigned(digest, i).bitwiseAND(F.lit(1)) == 1, weights).otherwise(-weights)).alias(f"v{i}") for i in range(60)]
+    two = F.lit(1 | 1 << 30)
+    return [F.sum(F.shiftrightunsigned(digest, i).bitwiseAND(two)).alias(f"v{i}") for i in range(30)]
 
 
-def fingerprint_of(votes: list[str]) -> Column:
-    return reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.col(v) > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, v in enumerate(votes)])
+def fingerprint_of(many: Column | str) -> Column:
+    """A bit is set where more than half of the tokens have it set; `many` is their number."""
+    half = F.lit((1 << 30) - 1)
+    bits = [(i, F.col(f"v{i}").bitwiseAND(half)) for i in range(30)] + [(i + 30, F.shiftrightunsigned(f"v{i}", 30)) for i in range(30)]
+    return reduce(lambda x, y: x.bitwiseOR(y), [F.when(ones * 2 > col(many), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, ones in bits])

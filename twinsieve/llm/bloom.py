@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 SALTS = (0x47B6137B, 0x44974D91, 0x0824AD5B, 0x22B7289D, 0x705495C7, 0x2DF1424B, 0x1EFC4947, 0x5C6BFB31)
 BITS_A_KEY = 12
 #: The broadcast filter never takes more; with more keys it lets more false hits through to the exact join.
-MAX_BYTES = 8 << 20
+MAX_BYTES = 32 << 20
 
 
 def build(keys: DataFrame, column: str, expected: int, max_bytes: int = MAX_BYTES) -> np.ndarray:
@@ -42,3 +42,16 @@ def probe(blocks: np.ndarray, h: np.ndarray) -> np.ndarray:
         at = ((low * np.uint64(salt)) >> np.uint64(26)) & np.uint64(31)
         hit &= (own[:, k] >> at.astype(np.uint32)) & np.uint32(1) == 1
     return hit
+
+
+def membership(keys: DataFrame, expected: int, max_bytes: int = MAX_BYTES):
+    """A function of a column of 64-bit hashes that tells which may be among `keys` (h); the filter is broadcast."""
+    sieve = keys.sparkSession.sparkContext.broadcast(build(keys, "h", expected, max_bytes))
+
+    @F.pandas_udf("boolean")
+    def possible(h):
+        import pandas as pd
+
+        return pd.Series(probe(sieve.value, np.ascontiguousarray(h.to_numpy(np.int64))))
+
+    return possible

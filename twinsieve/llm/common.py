@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.groups import connected_components
+from ..session import checkpoint_folder, checkpointed
+
 #: Bytes of text that the vectorised kernels take at a time; one longer document is taken alone.
 SLICE_BYTES = 1 << 20
 #: Null ids order after all others.
@@ -21,18 +22,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors see; only without one is a temporary one made."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="twinsieve-"))
-    return sc.getCheckpointDir()
+    """The session's checkpoint folder, which all executors see."""
+    return checkpoint_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to the shared checkpoint folder and read from there, so that neither lost executors nor later
     readers run the plan again."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return checkpointed(df)
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that `df` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label) for each node of the links (a, b); label is the smallest node reachable."""
+    return connected_components(links).withColumnRenamed("root", "label")
 
 
 def order_id(column: Column | str = "doc_id") -> Column:
@@ -55,6 +65,81 @@ def global_rank(df: DataFrame, keys: list[str], partitions: int | None = None) -
     return placed.join(F.broadcast(offsets), "_pid").withColumn("pos", F.col("_at") + F.col("_off")).drop("_pid", "_at", "_off")
 
 
+def with_row_ids(docs: DataFrame, name: str = "_ts_rid") -> DataFrame:
+    """`docs` must be a scan or a checkpoint (see `settled`): its rows get the same ids each time it is read."""
+    return docs.withColumn(name, F.monotonically_increasing_id())
+
+
+_SETTLED = {"LogicalRelation", "LogicalRDD", "LocalRelation", "Project", "Filter", "SubqueryAlias", "DataSourceV2Relation", "DataSourceV2ScanRelation"}
+
+
+def settled(docs: DataFrame) -> DataFrame:
+    """`docs` if it is a scan or a checkpoint, or rows and columns chosen from one; else its rows as a checkpoint."""
+    todo = [docs._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.getClass().getSimpleName() not in _SETTLED or not plan.deterministic():
+            return cut(docs)
+        todo += [plan.children().apply(k) for k in range(plan.children().size())]
+    return docs
+
+
+#: Ids that are broadcast at most, 16 bytes each.
+MAX_BROADCAST_IDS = 500_000
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """`docs` (settled) without the rows of the ids in `gone` (_ts_rid). Up to MAX_BROADCAST_IDS are broadcast; beyond, a Bloom
+    filter of bounded size lets the rows that are surely not among them pass without an exchange."""
+    from . import bloom
+
+    gone = cut(gone)
+    n = gone.count()
+    rid = free_name(docs, "_ts_rid")
+    gone, rows = gone.withColumnRenamed("_ts_rid", rid), with_row_ids(docs, rid)
+    if n <= MAX_BROADCAST_IDS:
+        return rows.join(F.broadcast(gone), rid, "left_anti").drop(rid)
+    possible = bloom.membership(gone.select(F.xxhash64(rid).alias("h")), n)
+    maybe = possible(F.xxhash64(rid))
+    return rows.where(~maybe).unionByName(rows.where(maybe).join(gone, rid, "left_anti")).drop(rid)
+
+
+#: Rows of a key up to which it never counts as hot.
+LEAST_HOT = 100
+
+
+def by_group(rows: DataFrame, groups: DataFrame, key: str | list[str], many: str, total: int | None = None) -> DataFrame:
+    """`rows` left-joined with `groups`, a checkpoint with one row a key and the number of its rows in `many`.
+
+    Groups of more than a thousandth of all rows, which are under a thousand, are broadcast to their rows, so that none meets
+    in one task; the others meet by key. `total` is the number of rows, where it is known. Rows without a key join nothing and stay where they are."""
+    keys = [key] if isinstance(key, str) else key
+    limit = max(LEAST_HOT, (rows.count() if total is None else total) // 1000)
+    hot, rest = groups.where(F.col(many) > limit), groups.where(F.col(many) <= limit)
+    nameless = F.lit(False)
+    for k in keys:
+        nameless |= F.col(k).isNull()
+    out = rows.where(~nameless).join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, "left").unionByName(rows.join(F.broadcast(hot), keys))
+    return out.unionByName(rows.where(nameless), allowMissingColumns=True)
+
+
+#: Buckets of packed hashes to a shuffle partition at least, and bytes of the table to a bucket.
+BUCKETS, BUCKET_BYTES = 4, 32 << 20
+
+
+def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of a hash, in the order of hashes."""
+    return (h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+
+
+def buckets_of(docs: DataFrame) -> int:
+    """How many buckets of packed hashes a table needs, so that one of them fits in a task at any size of the table: by its
+    bytes as the optimiser tells them, and at least BUCKETS to a shuffle partition."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    few = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(few, min(1 << 20, size // BUCKET_BYTES) if size < 1 << 60 else few)
+
+
 # ---------------------------------------------------------------- texts as flat byte buffers
 
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -6,7 +6,7 @@ score interpolates by absolute discounting: P(w|h) = max(c(hw) - D, 0) / c(h) +
 counts, c the mean count of a level, and lambda the mass that D takes from contexts of the level of h, both measured.
 
 Counting sends arrays, not rows: a task sorts its hashes and sends each bucket one packed row, and a bucket is merged by
-one task at a time, `BUCKETS` of them to a shuffle partition. A filter is a segment to each bucket, with BITS bits an
+one task at a time; there are as many as the table's size asks for (`buckets_of`). A filter is a segment to each bucket, with BITS bits an
 entry at any size. While all segments have at most MAX_BROADCAST bytes they are broadcast; beyond that the probes travel
 to the segments in the same packed form, which gives the same numbers, for pairs and for words. The commonest words,
 HEAD at most, are broadcast with their counts and levels, so only the others' probes travel: first to the word's
@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, flat, mix, slices, words
+from .common import bucket_of, buckets_of, cut, flat, mix, slices, words
 
-BUCKETS, HEAD, LEVELS = 4, 1 << 20, 48
+HEAD, LEVELS = 1 << 20, 48
 BITS, PROBES = 12, 8
 MAX_BROADCAST = 128 << 20
 #: A level that only the word's segment tells.
@@ -37,10 +37,6 @@ _G = np.uint64(0x9E3779B97F4A7C15)
 _MERGE = 1 << 22
 
 
-def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
-    return (h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
-
-
 def stream(column: pa.Array):
     """(first row, tokens with an end after each row, where each row begins) of slices of a text column."""
     data, offsets = flat(column)
@@ -311,7 +307,7 @@ def score(docs: DataFrame, held_out: F.Column, max_broadcast: int = MAX_BROADCAS
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; learns from rows not held out."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    n = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets_of(docs)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
     train = own.where(~F.col("held_out"))
     counts = _word_counts(train, n)

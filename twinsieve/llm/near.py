@@ -8,9 +8,14 @@ symbols on average, and one misses all 40 keys with a chance of 1.5e-6. Links ar
 
 Equal sets are one class from the start. Under a key all classes are first compared with its hub only, the member whose
 keys hold the most, which for altered copies of one text is the text itself. Keys whose members have come together by
-then are done. The members of the others are gathered by hub and by size (a link's sizes differ by at most 4/3), and
-what has different components there is compared in full: in pairs of blocks of about BLOCK members, by exact
-intersections, of which only links come out, one for each two components. Nothing is capped, and no pair is a row.
+then are done. The members of the others are gathered by hub and by size (a link's sizes differ by at most 4/3). There
+signatures are compared first, in pairs of blocks of about SCREEN members: only members with a signature within the
+distance in another component go on. These are compared in full, in pairs of blocks of about BLOCK members or
+BLOCK_SHINGLES shingles, by exact intersections, of which only links come out, one for each two components. Nothing is
+capped, and no pair is a row. Keys and groups of many rows are broadcast to them or dealt in blocks, so none meets in one task.
+
+Sets are compared as 64-bit hashes of shingles: two different shingles of one pair of texts are taken for equal with a
+chance of under 2^-64 a pair of shingles.
 
 Null and blank texts have no shingles, link with nothing and are kept. Repeated rows and ids: rows are told apart by
 their place; a component's id is its smallest doc_id. Null ids come last (component null if there is no other). Empty
@@ -25,16 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import LAST_ID, cut, flat, mix, order_id, shingles, slices, words
-from .exact import with_row_ids
-from .graph import components
+from .common import LAST_ID, by_group, components, cut, flat, mix, order_id, settled, shingles, slices, with_row_ids, without_rows, words
 
 SYMBOLS, CHUNK = 40, 4
 _FACTORS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: Differing symbols (told by four bits each) beyond which a star's pair is not compared; it may still be in the blocks.
 FAR = 23
-#: Members of a block of the final comparison, and columns of it multiplied out at a time.
-BLOCK, WIDE = 512, 4096
+#: Members of a block of the comparison of signatures; members and shingles of one of the final comparison, and columns of
+#: it multiplied out at a time.
+SCREEN, BLOCK, BLOCK_SHINGLES, WIDE = 4096, 512, 1 << 18, 4096
 
 
 def sketch(batches):
@@ -152,6 +156,25 @@ def across(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def screen(table: pa.Table) -> pa.Table:
+    """The members of a pair of blocks with a signature within the distance, and of a fitting size, in another component."""
+    label, n = table["label"].to_numpy(), table["n"].to_numpy()
+    longs = [table[c].to_numpy().view(np.uint64) for c in ("s0", "s1", "s2")]
+    hit = np.zeros(len(n), bool)
+    ones = np.uint64(0x1111111111111111)
+    for lo in range(0, len(n), 256):
+        part = slice(lo, lo + 256)
+        far = np.zeros((len(n[part]), len(n)), np.uint8)
+        for s in longs:
+            d = s[part, None] ^ s[None]
+            d |= d >> np.uint64(2)
+            d |= d >> np.uint64(1)
+            far += np.bitwise_count(d & ones)
+        m = n[part, None]
+        hit[part] = ((far <= FAR) & (label[part, None] != label[None]) & (np.minimum(m, n[None]) * 100 >= np.maximum(m, n[None]) * 75)).any(1)
+    return pa.table({c: table[c].filter(pa.array(hit)) for c in ("hub", "band", "node")})
+
+
 def _near(x: str, y: str) -> F.Column:
     """Sizes and signatures that a link could have."""
     def differing(s: str):
@@ -164,18 +187,46 @@ def _near(x: str, y: str) -> F.Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * 75) & (differing("s0") + differing("s1") + differing("s2") <= FAR)
 
 
+def _dealt(members: DataFrame, blocks: F.Column) -> DataFrame:
+    """The members of each (hub, band) in pairs (i, j) of blocks; those of one (hub, band) only meet by pair."""
+    sizes = cut(members.groupBy("hub", "band").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"), F.min("label").alias("l0"), F.max("label").alias("l1")).withColumn("blocks", blocks.cast("int")))
+    placed = by_group(members, sizes, ["hub", "band"], "size").where("l0 <> l1")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return placed.withColumn("mine", mine).withColumn("other", other).withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).select(*members.columns, "i", "j")
+
+
+def _rest(held: DataFrame, label: DataFrame, info: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components that have met under a key; `held` has key, node and the key's hub."""
+    labelled = held.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    spread = cut(labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("many")))
+    apart = by_group(labelled, spread, "key", "many").where("l0 <> l1")
+    members = apart.select("hub", "node", "label").distinct().join(info, "node")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(4 / 3))).cast("int")
+    members = cut(members.withColumn("band", F.explode(F.array(band, band + 1))))
+    if not members.limit(1).count():
+        return members.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    near = _dealt(members, F.ceil(F.col("size") / SCREEN)).groupBy("hub", "band", "i", "j").applyInArrow(screen, "hub long, band int, node long")
+    members = cut(members.join(near.distinct(), ["hub", "band", "node"]).select("hub", "band", "node", "label", "n"))
+    if not members.limit(1).count():
+        return members.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES))
+    return _dealt(members, blocks).join(sets, "node").groupBy("hub", "band", "i", "j").applyInArrow(across, "a long, b long").distinct()
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
-    """_rid, _oid, n_shingles, _component (smallest id), _label (of the component), kept for each row of `docs`."""
-    spark = docs.sparkSession
+    """_ts_rid, _oid, n_shingles, _component (smallest id), _label (of the component), kept for each row of `docs`, a scan or a
+    checkpoint."""
     own = with_row_ids(docs).select("_ts_rid", order_id().alias("_oid"), "text")
     rows = cut(own.mapInArrow(sketch, "_ts_rid long, _oid long, n long, sid binary, sig binary"))
     classes = cut(
-        rows.where(F.col("sid").isNotNull()).groupBy("sid", "n", "sig").agg(F.min("_oid").alias("mid"), F.min("_ts_rid").alias("_ts_rid"))
+        rows.where(F.col("sid").isNotNull()).groupBy("sid", "n", "sig").agg(F.min("_oid").alias("mid"), F.min("_ts_rid").alias("_ts_rid"), F.count(F.lit(1)).alias("rows"))
         .withColumn("node", F.monotonically_increasing_id())
     )
+    many_classes = classes.count()
     keys = classes.where("n > 2").select("node", "sig").mapInArrow(index_keys, "key long, node long")
-    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    live = cut(keys.join(counts, "key"))
+    counts = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"))
+    live = cut(by_group(keys, counts, "key", "many", SYMBOLS * many_classes).where("many is not null"))
     weight = live.groupBy("node").agg(F.sum("many").alias("w"))
     weight = cut(weight.select("node", F.shiftleft("w", 24).bitwiseOR(F.xxhash64("node").bitwiseAND(F.lit(0xFFFFFF))).alias("weight")))
     n = weight.count()
@@ -184,53 +235,39 @@ def near_groups(docs: DataFrame) -> DataFrame:
         own_nodes = classes.join(weight.select("node"), "node", "left_semi")
         info = cut(own_nodes.select("node", "n", "sig").mapInArrow(packed, "node long, n long, s0 long, s1 long, s2 long"))
         places = own_nodes.select("_ts_rid", "node")
-        sieve = spark.sparkContext.broadcast(bloom.build(places.select(F.xxhash64("_ts_rid").alias("h")), "h", n))
-
-        @F.pandas_udf("boolean")
-        def possible(h):
-            import pandas as pd
-
-            return pd.Series(bloom.probe(sieve.value, np.ascontiguousarray(h.to_numpy(np.int64))))
-
+        possible = bloom.membership(places.select(F.xxhash64("_ts_rid").alias("h")), n)
         sets = cut(own.where(possible(F.xxhash64("_ts_rid"))).select("_ts_rid", "text").join(places, "_ts_rid").select("node", "text").mapInArrow(_set_of, "node long, shingles binary"))
-        top = live.join(weight, "node").groupBy("key").agg(F.max("weight").alias("weight")).join(weight.groupBy("weight").agg(F.min("node").alias("hub")), "weight").select("key", "hub")
-        held = cut(live.select("key", "node").join(top, "key"))
+        top = live.join(weight, "node").groupBy("key").agg(F.max("weight").alias("weight"), F.max("many").alias("many"))
+        top = cut(top.join(weight.groupBy("weight").agg(F.min("node").alias("hub")), "weight").select("key", "hub", "many"))
+        held = cut(by_group(live.select("key", "node"), top, "key", "many").select("key", "node", "hub"))
         pairs = held.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
         x, y = info.alias("x"), info.alias("y")
         stars = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_near("x", "y")).select("a", "b")
         x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         label = cut(components(stars.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")))
-        labelled = held.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        spread = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
-        members = labelled.join(spread, "key", "left_semi").select("hub", "node", "label").distinct().join(info.select("node", "n"), "node")
-        band = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(4 / 3))).cast("int")
-        members = cut(members.select("hub", "node", "label", F.explode(F.array(band, band + 1)).alias("band")))
-        sizes = members.groupBy("hub", "band").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
-        sizes = sizes.select("hub", "band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-        mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        dealt = members.join(sizes, ["hub", "band"]).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("hub", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "label")
-        more = dealt.join(sets, "node").groupBy("hub", "band", "i", "j").applyInArrow(across, "a long, b long")
-        found = label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more.distinct())
-        label = components(found)
-    named = classes.select("sid", "node", "mid")
+        more = cut(_rest(held, label, info, sets))
+        if more.limit(1).count():
+            label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+    named = classes.select("sid", "node", "mid", "rows")
     named = named.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")) if label is not None else named.withColumn("label", F.col("node"))
     named = cut(named)
-    least = named.groupBy("label").agg(F.min("mid").alias("_component"))
-    by_set = named.join(least, "label").select("sid", "_component", "label")
-    full = rows.join(by_set, "sid", "left").select("_ts_rid", "_oid", F.col("n").alias("n_shingles"), F.coalesce("_component", "_oid").alias("_component"), F.coalesce("label", -1 - F.col("_ts_rid")).alias("_label"))
+    least = cut(named.groupBy("label").agg(F.min("mid").alias("_component"), F.count(F.lit(1)).alias("many")))
+    by_set = cut(by_group(named, least, "label", "many").select("sid", "_component", "label", "rows"))
+    full = by_group(rows, by_set, "sid", "rows").select("_ts_rid", "_oid", F.col("n").alias("n_shingles"), F.coalesce("_component", "_oid").alias("_component"), F.coalesce("label", -1 - F.col("_ts_rid")).alias("_label"))
     return full.withColumn("kept", F.col("_oid") == F.col("_component"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
-    out = near_groups(docs)
+    out = near_groups(settled(docs))
     return out.select(F.when(F.col("_oid") != LAST_ID, F.col("_oid")).alias("doc_id"), "n_shingles", F.when(F.col("_component") != LAST_ID, F.col("_component")).alias("component_id"), "kept")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """One row of each component, with its own columns; of repeated rows with that id the first."""
-    out = near_groups(docs).where("kept")
-    stay = out.groupBy("_label").agg(F.min("_ts_rid").alias("_ts_rid")).select("_ts_rid")
-    return with_row_ids(docs).join(stay, "_ts_rid", "left_semi").drop("_ts_rid")
+    """One row of each component, with its own columns; of repeated rows with that id the first. Rows are told apart by their
+    place, so `docs` that isn't a scan or a checkpoint is made one."""
+    docs = settled(docs)
+    out = cut(near_groups(docs))
+    stay = out.where("kept").groupBy("_label").agg(F.min("_ts_rid").alias("_ts_rid")).select("_ts_rid")
+    return without_rows(docs, out.select("_ts_rid").join(stay, "_ts_rid", "left_anti"))

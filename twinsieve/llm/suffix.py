@@ -12,6 +12,11 @@ by breadth-first backward extension: the interval of a string c + w is cut where
 common prefixes come out by increasing length, and expansion stops at `least`. What is left are the intervals of repeated
 strings of that length; all but the earliest start of each are repeats. Later copies of an equal segment are repeats whole.
 
+A key with more than HOT segments (a short common passage in many surroundings) is split by the text around it: its windows
+add the smallest values of EXTRA other hashes to the key, which equal windows have in common too, and which mostly come from
+the surroundings. What stays under one key is judged by one task. Buckets follow the size of the table. Equal segments are
+told by a 64-bit digest; other comparisons are of bytes.
+
 Null and short texts lose nothing. Repeated rows and ids: rows with one id come in the order of the table; null ids come
 last. A row's result never depends on other columns. Empty tables give empty results. A text of any length is one row.
 """
@@ -26,13 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import LAST_ID, _BASE, _Powers, cut, flat, mix, order_id, slices
-from .lm import BUCKETS, bucket_of
+from .common import LAST_ID, _BASE, _Powers, bucket_of, buckets_of, cut, flat, mix, order_id, settled, slices
 
 GRAM = 20
 #: Bytes that a task holds before it sends them, and bytes whose suffixes are sorted at a time.
 HOLD, SORT = 6 << 20, 512 << 10
 MAX_FILTER = 32 << 20
+#: Segments from which a key is split, and how many smallest hashes then join it.
+HOT, EXTRA = 4096, 3
 
 
 def sliding(a: np.ndarray, width: int, of=np.minimum) -> np.ndarray:
@@ -45,13 +51,14 @@ def sliding(a: np.ndarray, width: int, of=np.minimum) -> np.ndarray:
     return of(a[:-rest], a[rest:]) if rest else a
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, least: int):
-    """(row, start in the row, windows, key, digest, start in data, whether a window may repeat within) of each segment of
-    rows end to end. Equal windows of one segment have the key's string at two places, with no other key's between."""
+def segments(data: np.ndarray, offsets: np.ndarray, least: int, hot=None):
+    """(row, start in the row, windows, key, digest, start in data, whether a window may repeat within, key before splitting)
+    of each segment of rows end to end; `hot` is a filter of the keys to split. Equal windows of one segment have the key's
+    string at two places, with no other key's between."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < least:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64), none, none.astype(bool)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none, none.astype(bool), none.view(np.uint64)
     up, down = _Powers.get(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
@@ -61,6 +68,14 @@ def segments(data: np.ndarray, offsets: np.ndarray, least: int):
     pad = np.zeros(reach - 1, np.uint64)
     chosen = np.flatnonzero(h == sliding(np.concatenate((pad, low, pad)), reach, np.maximum))
     tied = h[chosen[1:]][(h[chosen[1:]] == h[chosen[:-1]]) & (np.diff(chosen) <= reach)]
+    plain = low
+    if hot is not None:
+        split = bloom.probe(hot, low.view(np.int64))
+        if split.any():
+            low = low.copy()
+            for k in range(1, EXTRA + 1):
+                other = sliding(mix(h ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), reach)
+                low[split] = mix(low[split] + other[split])
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(low)]
     good = np.arange(len(low)) + least <= offsets[row + 1]
     fresh = good.copy()
@@ -70,27 +85,28 @@ def segments(data: np.ndarray, offsets: np.ndarray, least: int):
     stop[:-1] &= (low[1:] != low[:-1]) | ~good[1:]
     windows = np.flatnonzero(stop) + 1 - start
     digest = mix((sums[start + windows + least - 1] - sums[start]) * down[start] + windows.astype(np.uint64) * np.uint64(_BASE))
-    return row[start], start - offsets[row[start]], windows, low[start], digest, start, np.isin(low[start], tied) if len(tied) else np.zeros(len(start), bool)
+    return row[start], start - offsets[row[start]], windows, low[start], digest, start, np.isin(plain[start], tied) if len(tied) else np.zeros(len(start), bool), plain[start]
 
 
 def _key_counts(docs: DataFrame, n: int, least: int) -> DataFrame:
-    """(h) of keys that occur twice."""
+    """(h, hot) of keys that occur twice, and which of them more than about HOT times."""
 
     def count(batches):
         held, size = [], 0
 
         def send():
             u, c = np.unique(np.concatenate(held), return_counts=True)
+            q = (np.frexp(c.astype(np.float64))[1] - 1).astype(np.uint8)  # the count to a factor of two
             edges = np.searchsorted(bucket_of(u, n), np.arange(n + 1).astype(np.uint64))
             full = np.flatnonzero(np.diff(edges))
-            many = c > 1
-            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([u[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary()), pa.array([u[edges[b] : edges[b + 1]][many[edges[b] : edges[b + 1]]].tobytes() for b in full], pa.binary())], names=["bucket", "all", "twice"])
+            cuts = [slice(edges[b], edges[b + 1]) for b in full]
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array([x[c].tobytes() for c in cuts], pa.binary()) for x in (u, q)]], names=["bucket", "all", "counts"])
 
         for batch in batches:
             data, offsets = flat(batch["text"])
             for lo, hi in slices(offsets):
-                _, _, _, key, _, _, inner = segments(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], least)
-                held += [key, key[inner]]
+                _, _, _, key, _, _, inner, _ = segments(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], least)
+                held += [key, key[inner]]  # a key that may repeat within a segment counts as two
                 size += len(key)
                 if size > 1 << 21:
                     yield send()
@@ -99,25 +115,26 @@ def _key_counts(docs: DataFrame, n: int, least: int) -> DataFrame:
             yield send()
 
     def twice(batches):
-        at, held, sure = None, [], []
+        at, held, counts = None, [], []
 
         def send():
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([u[c > 1], *sure])).view(np.int64))], names=["h"])
+            u, back = np.unique(np.concatenate(held), return_inverse=True)
+            total = np.bincount(back, 2.0 ** np.concatenate(counts), len(u))
+            return pa.RecordBatch.from_arrays([pa.array(u[total > 1].view(np.int64)), pa.array(total[total > 1] > HOT)], names=["h", "hot"])
 
         for batch in batches:
-            for bucket, every, more in zip(batch["bucket"].to_pylist(), batch["all"], batch["twice"]):
+            for bucket, every, q in zip(batch["bucket"].to_pylist(), batch["all"], batch["counts"]):
                 if bucket != at and held:
                     yield send()
-                    held, sure = [], []
+                    held, counts = [], []
                 at = bucket
                 held.append(np.frombuffer(every.as_buffer(), np.uint64))
-                sure.append(np.frombuffer(more.as_buffer(), np.uint64))
+                counts.append(np.frombuffer(q.as_buffer(), np.uint8))
         if held:
             yield send()
 
-    packed = docs.select("text").mapInArrow(count, "bucket int, all binary, twice binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(twice, "h long")
+    packed = docs.select("text").mapInArrow(count, "bucket int, all binary, counts binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(twice, "h long, hot boolean")
 
 
 def suffix_array(text: np.ndarray, least: int) -> np.ndarray:
@@ -188,7 +205,7 @@ def _runs(flags: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(a), np.flatnonzero(b) + 1
 
 
-def _send_segments(docs: DataFrame, n: int, least: int, sieve) -> DataFrame:
+def _send_segments(docs: DataFrame, n: int, least: int, sieve, hot) -> DataFrame:
     schema = "bucket int, seg binary, bytes binary, occ binary"
 
     def send(held):
@@ -220,8 +237,8 @@ def _send_segments(docs: DataFrame, n: int, least: int, sieve) -> DataFrame:
             oid, rid = batch["_oid"].to_numpy(), batch["_rid"].to_numpy()
             for lo, hi in slices(offsets):
                 part = data[offsets[lo] : offsets[hi]]
-                row, start, windows, key, digest, at, inner = segments(part, offsets[lo : hi + 1] - offsets[lo], least)
-                hit = np.flatnonzero(bloom.probe(sieve.value, key.view(np.int64))) if len(key) else np.zeros(0, np.int64)
+                row, start, windows, key, digest, at, inner, plain = segments(part, offsets[lo : hi + 1] - offsets[lo], least, hot.value)
+                hit = np.flatnonzero(bloom.probe(sieve.value, plain.view(np.int64))) if len(key) else np.zeros(0, np.int64)
                 if len(hit):
                     length = windows[hit] + least - 1
                     base = np.concatenate(([0], np.cumsum(length)[:-1]))
@@ -285,9 +302,12 @@ def _judge(rows: list, least: int):
 def spans(docs: DataFrame, least: int = 100) -> DataFrame:
     """(_rid, s, e): repeated stretches of bytes, overlapping ones too; `docs` has _rid, _oid and text."""
     spark = docs.sparkSession
-    n = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets_of(docs)
     keys = cut(_key_counts(docs, n, least))
     sieve = spark.sparkContext.broadcast(bloom.build(keys, "h", keys.count(), MAX_FILTER))
+    hot = keys.where("hot")
+    many = hot.count()
+    hot = spark.sparkContext.broadcast(bloom.build(hot, "h", many, MAX_FILTER) if many else None)
 
     def judge(batches):
         at, rows = None, []
@@ -301,7 +321,7 @@ def spans(docs: DataFrame, least: int = 100) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in _judge(rows, least)], names=["_rid", "s", "e"])
 
-    sent = _send_segments(docs, n, least, sieve)
+    sent = _send_segments(docs, n, least, sieve, hot)
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(judge, "_rid long, s long, e long")
 
 
@@ -319,7 +339,7 @@ def remove_repeats(docs: DataFrame, least: int = 100) -> DataFrame:
     GRAM, else there is a ValueError."""
     if least <= GRAM:
         raise ValueError(f"least is {least}, but repeats are found by strings of {GRAM} bytes and must be longer")
-    own = docs.select(F.monotonically_increasing_id().alias("_rid"), order_id().alias("_oid"), "text")
+    own = settled(docs).select(F.monotonically_increasing_id().alias("_rid"), order_id().alias("_oid"), "text")
     found = cut(spans(own, least).groupBy("_rid").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e")))
 
     def clean(batches):
@@ -336,5 +356,9 @@ def remove_repeats(docs: DataFrame, least: int = 100) -> DataFrame:
             columns = list(zip(*rows)) if rows else [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([batch["_oid"], *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]], names=["_oid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    out = own.join(found, "_rid", "left").select("_oid", "text", "s", "e").mapInArrow(clean, "_oid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    # rows that surely have no repeats, by a Bloom filter, stay where they are
+    maybe = bloom.membership(found.select(F.xxhash64("_rid").alias("h")), found.count())(F.xxhash64("_rid"))
+    no_spans = F.lit(None).cast("array<long>")
+    joined = own.where(maybe).join(found, "_rid", "left").select("_oid", "text", "s", "e").unionByName(own.where(~maybe).select("_oid", "text", no_spans.alias("s"), no_spans.alias("e")))
+    out = joined.mapInArrow(clean, "_oid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.select(F.when(F.col("_oid") != LAST_ID, F.col("_oid")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

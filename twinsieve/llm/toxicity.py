@@ -6,11 +6,17 @@ letter a look-alike or one letter repeated counts as a single letter) becomes a
 of its possible letters, and Viterbi decoding under a character trigram model finds the likeliest reading. The model is
 counted over all texts. Read words join the text's own; features are words and their first four and five letters, as
 hashes. The commonest ways of being toxic are learned from labelled rows: the FEATURES features with the highest
-likelihood ratio, weighed by a logistic regression on at most about TRAIN_ROWS labelled rows, a sample by hash of the id.
+likelihood ratio, weighed by a logistic regression on at most about TRAIN_ROWS labelled
+ids, a sample by hash of the id; of several texts with one id the one with the smallest hash is learned from.
+
+What a text without evidence scores is a prior, not the labels' mix: where more than PRIOR of the labels are toxic, the
+regression weighs both kinds as if PRIOR of them were, and the intercept never exceeds that share's. However skewed the
+labels are, a text without any learned feature scores at most PRIOR and is kept by `clean`.
 
 Null and empty texts have no features and get the score of the intercept. Rows and ids may repeat or be null; a null id
 has no label. Very long texts are taken whole, in one slice each. Empty tables give empty results, and without labels of
-both kinds every score is the share of toxic labels (0 without any). Other columns are ignored.
+both kinds every score is the share of toxic labels, PRIOR at most (1e-9 without any). Other columns stay; one with the
+name of the score's column is replaced by it in `score` and stays as it is in `clean`.
 """
 
 from __future__ import annotations
@@ -23,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _Powers, flat, mix, slices
+from .common import _Powers, cut, flat, free_name, mix, slices
 from .lm import fifth
 
 TRAIN_ROWS, FEATURES, LEAST_ROWS, LEAST_RATIO = 20_000, 1024, 4, 15.0
+#: The highest score of a text without evidence.
+PRIOR = 0.2
 #: Which letters a digit or sign may stand for.
 LOOK_ALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c"}
 CODES = 28
@@ -221,28 +229,34 @@ def extract(column: pa.Array, decoder: Decoder):
 
 
 def fit(hits: list[tuple[int, list[int]]], width: int) -> np.ndarray:
-    """Weights and, last, the intercept of a ridge logistic regression, by accelerated gradient descent."""
+    """Weights and, last, the intercept of a ridge logistic regression, by accelerated gradient descent. Rows weigh as if at
+    most PRIOR of them were toxic."""
     y = np.array([h[0] for h in hits], float)
     w = np.zeros(width + 1)
-    share = min(max(y.mean() if len(y) else 0.0, 1e-9), 1 - 1e-9)
-    w[-1] = math.log(share / (1 - share))
+    share = max(y.mean() if len(y) else 0.0, 1e-9)
+    prior = min(share, PRIOR)
+    most = math.log(prior / (1 - prior))
+    w[-1] = most
     if not 0 < y.sum() < len(y):
         return w
+    own = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
     rows = np.repeat(np.arange(len(y)), [len(h[1]) for h in hits])
     cols = np.array([c for h in hits for c in h[1]], np.int64)
     per_row = np.bincount(rows, minlength=len(y)).max(initial=1)
     rate, v, old = 4.0 / (per_row + 1), w.copy(), w.copy()
+    scale = np.maximum(np.append(np.bincount(cols, own[rows], width), own.sum()), 1)
     for t in range(1, 801):
         z = np.bincount(rows, v[cols], len(y)) + v[-1]
-        g = 1 / (1 + np.exp(-z)) - y
+        g = own * (1 / (1 + np.exp(-z)) - y)
         grad = np.append(np.bincount(cols, g[rows], width) + 0.05 * v[:-1], g.sum())
-        w = v - rate * grad / np.maximum(np.append(np.bincount(cols, minlength=width), len(y)), 1)
+        w = v - rate * grad / scale
+        w[-1] = min(w[-1], most)
         v, old = w + (t - 1) / (t + 2) * (w - old), w
     return w
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` (doc_id, text, ...) with `_ts_toxicity`, the score; other columns stay."""
+def score(docs: DataFrame, labels: DataFrame, name: str = SCORE) -> DataFrame:
+    """`docs` (doc_id, text, ...) with the score as column `name`; other columns stay."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(character_model(docs))
     given = labels.where((fifth() != 0) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("_y"))
@@ -250,7 +264,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     share = min(1.0, TRAIN_ROWS / max(n, 1))
     place = F.xxhash64("_id").bitwiseAND(F.lit((1 << 30) - 1))
     sample = F.broadcast(given.where(place < int(share * (1 << 30))))  # about TRAIN_ROWS rows at most
-    train = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(sample, "_id").select("text", "_y")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(sample, "_id")
+    train = cut(texts.groupBy("_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("_y").alias("_y")).select("text", "_y"))
 
     def counted(batches):
         decoder = Decoder(model.value)
@@ -262,7 +277,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 toxic = np.bincount(back, y[lo + both[1].astype(np.int64)], len(u)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(toxic), pa.array(np.bincount(back, minlength=len(u)).astype(np.int64) - toxic)], names=["h", "a", "b"])
 
-    sizes = train.groupBy("_y").count().collect()  # two rows
+    sizes = train.groupBy("_y").count().collect()  # a few rows
     pos = sum(r[1] for r in sizes if r[0] == 1)
     neg = sum(r[1] for r in sizes if r[0] != 1)
     chosen: list[int] = []
@@ -299,22 +314,24 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             edges = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([batch["_y"], pa.array([cols[edges[k] : edges[k + 1]].tolist() for k in range(batch.num_rows)], pa.list_(pa.int32()))], names=["_y", "cols"])
 
-    seen = [(r[0], r[1]) for r in train.mapInArrow(hits, "_y int, cols array<int>").collect()] if pos + neg else []  # the bounded sample's rows, a few numbers each
+    seen = [(r[0], r[1]) for r in train.mapInArrow(hits, "_y int, cols array<int>").collect()] if pos + neg else []  # the bounded sample's rows (one an id), a few numbers each
     weights = spark.sparkContext.broadcast(fit(seen, len(keys)))
-    kinds = [f.name for f in docs.schema.fields]
+    fields = [f for f in docs.schema.fields if f.name.lower() != name.lower()]
+    kinds = [f.name for f in fields]
 
     def scored(batches):
         decoder, w = Decoder(model.value), weights.value
         for batch in batches:
             rows, cols = found(batch["text"], decoder)
             z = np.bincount(rows, w[cols], batch.num_rows) + w[-1] if len(rows) else np.full(batch.num_rows, w[-1])
-            yield pa.RecordBatch.from_arrays([*[batch[k] for k in kinds], pa.array(1 / (1 + np.exp(-z)))], names=[*kinds, SCORE])
+            yield pa.RecordBatch.from_arrays([*[batch[k] for k in kinds], pa.array(1 / (1 + np.exp(-z)))], names=[*kinds, name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(scored, StructType([*docs.schema.fields, StructField(SCORE, DoubleType())]))
+    return docs.select(*[F.col(f"`{k}`") for k in kinds]).mapInArrow(scored, StructType([*fields, StructField(name, DoubleType())]))
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows scored under the threshold, with their own columns."""
-    return score(docs, labels).where(F.col(SCORE) < threshold).drop(SCORE)
+    name = free_name(docs, SCORE)
+    return score(docs, labels, name).where(F.col(name) < threshold).drop(name)

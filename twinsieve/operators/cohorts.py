@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import round6
+from ..session import checkpointed
 
 STATUSES = ("SUCCESS", "FAILED", "CANCELLED", "SKIPPED")
 #: Order of modes.
@@ -116,16 +117,17 @@ def eligibility(dimension: Column, same_build: Column, commits_known: Column, l_
 
 def comparison_candidates(runs: DataFrame, modes: DataFrame, cases: DataFrame) -> DataFrame:
     """JN-20: pairs worth comparing within a dataset and scope: builds by run time, builds by one mode's time, modes within a
-    build by mode time and by case time, builds by case time of a mode. Cohorts are aggregated before they are paired."""
+    build by mode time and by case time, builds by case time of a mode. Cohorts are aggregated, each kind once, before they
+    are paired: as a checkpoint, a row a cohort."""
     build = ["build", "commit_state", "commit"]
     base = ["dataset_fp", "scope"]
     mode = ["requested_mode", "effective_mode"]
     r = runs.withColumn("ok", exclusion("run_status", "wall_ms").isNull())
     run_side = r.groupBy(*base, *build).agg(F.count_if("ok").alias("n"))
     m = modes.join(runs.select("run_id", *base, *build), "run_id")
-    mode_side = m.groupBy(*base, *build, *mode).agg(F.count_if(exclusion("status", "elapsed_ms").isNull()).alias("n"))
+    mode_side = checkpointed(m.groupBy(*base, *build, *mode).agg(F.count_if(exclusion("status", "elapsed_ms").isNull()).alias("n")))
     c = m.withColumnRenamed("status", "m_status").drop("elapsed_ms").join(cases.select("run_id", "case_id", F.col("status").alias("c_status")), ["run_id", "case_id"])
-    case_side = c.groupBy(*base, *build, *mode).agg(F.count_if(case_exclusion("c_status", "m_status").isNull()).alias("n"))
+    case_side = checkpointed(c.groupBy(*base, *build, *mode).agg(F.count_if(case_exclusion("c_status", "m_status").isNull()).alias("n")))
     parts = [
         _pairs(run_side, base, build, "RunWall", "BuildProvenance"),
         _pairs(mode_side, base + mode, build, "ModeElapsed", "BuildProvenance"),

@@ -2,41 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_ROUNDS = 60
-
+from ..session import checkpointed, release
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows in the session's shared checkpoint folder; a folder of its own only where the session names none."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="twinsieve-"))
-    return df.checkpoint(eager=True)
+MAX_ROUNDS = 60
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """AGG-13: (node, root) for every endpoint of (a, b); root is the smallest node of its component.
+    """AGG-13: (node, root) for every endpoint of (a, b) with a <> b; root is the smallest node of its component.
 
-    Every node points at the smallest node it knows of. A round lets neighbours' pointers spread both ways over the links
-    and then follows pointers twice, so distances shrink by more than half; a round is joins and minima only."""
-    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    ends = checkpointed(ends)
-    at = checkpointed(ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    Alternating stars: large ones hang a node's larger neighbours on its smallest one, small ones its smaller neighbours.
+    Both are a minimum per node, folded before the exchange, and a join, so a hub of any degree needs no task of its own.
+    The stars stand after about log2 of the longest path rounds; a round is a checkpoint, and the one before it goes."""
+    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    seen = None
     for _ in range(MAX_ROUNDS):
-        heard = ends.join(at, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("heard"))
-        told = at.join(heard, F.col("node") == F.col("a"), "left").select("node", F.least("root", F.coalesce("heard", "root")).alias("new"), F.col("root").alias("old"))
-        hooks = told.groupBy(F.col("old").alias("node")).agg(F.min("new").alias("hook"))
-        near = told.join(hooks, "node", "left").select("node", F.least("new", F.coalesce("hook", "new")).alias("root"), "old")
-        jump = near.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        after = checkpointed(near.join(jump, "root", "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root"), "old"))
-        moved = after.where("root <> old").limit(1).count()
-        at = after.select("node", "root")
-        if not moved:
-            return at
+        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        after = checkpointed(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        release(edges)
+        edges = after
+        state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if state == seen:
+            roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+        seen = state
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 

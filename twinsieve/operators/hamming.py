@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions.hashes import ASPECTS, best_full, best_variant, distance, masks16, percent_of, similarity, slice16
 
-#: Distinct fingerprints up to which comparing all with all is cheapest; measured by bench.py.
-THETA_ROWS = 3000
+#: Distinct fingerprints up to which comparing all with all is cheapest, instead of bands and instead of slices: 4e8 and
+#: 3.6e9 comparisons of two words on all cores against 9 and 548 keys a row that are exchanged.
+THETA_ROWS, THETA_ROWS_SLICES = 20_000, 60_000
+#: The largest distances of the bands (D + 1 bands of 7 bits at least) and of the slices: among 11 differing bits one of four
+#: slices has two at most. Beyond that every partition of 64 bits makes a large share of all pairs candidates (at 16: a
+#: quarter for six parts with two errors each, more for others), so a linear scan over the distinct fingerprints is cheaper.
+MAX_BANDS, MAX_SLICES = 8, 11
 
 
 def band_keys(h: Column, bands: int) -> Column:
@@ -35,32 +40,40 @@ def first_equal_band(x: Column, y: Column, bands: int) -> Column:
     return out
 
 
+def _slices(h: str) -> Column:
+    return F.array(*[F.struct(F.lit(k).alias("part"), slice16(h, k).alias("bits")) for k in range(4)])
+
+
+def _masks(radius: int) -> Column:
+    return F.explode(F.array(*[F.lit(m) for m in masks16(radius)]))
+
+
 def _distinct_pairs(left: DataFrame, right: DataFrame, max_distance: int, strategy: str) -> DataFrame:
     """(x, y, distance) of distinct fingerprints of both sides."""
     x, y = left.select(F.col("h").alias("x")), right.select(F.col("h").alias("y"))
     near = distance("x", "y") <= max_distance
     if max_distance == 0:
         return x.join(y, F.col("x") == F.col("y")).select("x", "y", F.lit(0).alias("distance"))
-    if strategy == "theta" or max_distance > 8:
+    if strategy == "theta" or max_distance > MAX_SLICES:
+        x = x.repartition(left.sparkSession.sparkContext.defaultParallelism, "x")  # few bytes, many comparisons
         return x.join(y, near).select("x", "y", distance("x", "y").alias("distance"))
-    if strategy == "bands":
+    if strategy == "bands" and max_distance <= MAX_BANDS:
         n = max_distance + 1
         a, b = x.select("x", F.inline(band_keys(F.col("x"), n))), y.select("y", F.inline(band_keys(F.col("y"), n)))
         return a.join(b, ["band", "bits"]).where(near & (F.col("band") == first_equal_band(F.col("x"), F.col("y"), n))).select("x", "y", distance("x", "y").alias("distance"))
     # four 16-bit slices; the asking side enumerates each slice's neighbours within two bits
-    slices = lambda c: F.array(*[F.struct(F.lit(k).alias("part"), slice16(c, k).alias("bits")) for k in range(4)])
-    masks = F.explode(F.array(*[F.lit(m) for m in masks16(min(2, max_distance))]))
-    a = x.select("x", F.inline(slices("x"))).withColumn("mask", masks).select("x", "part", F.col("bits").bitwiseXOR(F.col("mask")).alias("bits"))
-    b = y.select("y", F.inline(slices("y")))
+    a = x.select("x", F.inline(_slices("x"))).withColumn("mask", _masks(min(2, max_distance))).select("x", "part", F.col("bits").bitwiseXOR(F.col("mask")).alias("bits"))
+    b = y.select("y", F.inline(_slices("y")))
     return a.join(b, ["part", "bits"]).where(near).select("x", "y").distinct().select("x", "y", distance("x", "y").alias("distance"))
 
 
 def _chosen(df: DataFrame, max_distance: int, strategy: str) -> str:
     if strategy != "auto":
         return strategy
-    if max_distance > 8:
+    most = THETA_ROWS if max_distance <= MAX_BANDS else THETA_ROWS_SLICES
+    if max_distance > MAX_SLICES or df.limit(most + 1).count() <= most:
         return "theta"
-    return "theta" if df.limit(THETA_ROWS + 1).count() <= THETA_ROWS else "bands"
+    return "bands" if max_distance <= MAX_BANDS else "slices"
 
 
 def hamming_pairs(rows: DataFrame, max_distance: int, strategy: str = "auto") -> DataFrame:
@@ -114,7 +127,7 @@ def variant_candidates(media: DataFrame, max_distance: int, changed: DataFrame |
     ones. Equal fingerprints of a class are one row until the pairs are expanded to ids."""
     full = ("h", "mirror")
     crops = {r: (f"crop_{r}", f"mirror_crop_{r}") for r in ASPECTS}
-    n = min(max_distance, 8) + 1
+    n = min(max_distance, MAX_BANDS) + 1
     asks, answers = _tagged(media.where("kind > 0"), {"full": full} | crops, "x"), _tagged(media.where("kind > 0"), {"full": full} | {r: full + c for r, c in crops.items()}, "y")
     if changed is not None:
         marked = changed.select("id", F.lit(True).alias("new")).distinct()
@@ -125,8 +138,12 @@ def variant_candidates(media: DataFrame, max_distance: int, changed: DataFrame |
         a, b = asks.select("tag", "x", F.lit(True).alias("a_new")).distinct(), answers.select("tag", "y", F.lit(True).alias("b_new")).distinct()
     near = distance("x", "y") <= max_distance
     wanted = F.col("a_new") | F.col("b_new")
-    if max_distance > 8:
+    if max_distance > MAX_SLICES:
         found = a.join(b, "tag").where(near & wanted)
+    elif max_distance > MAX_BANDS:
+        p, q = a.select("tag", "x", "a_new", F.inline(_slices("x"))).withColumn("mask", _masks(2)), b.select("tag", "y", "b_new", F.inline(_slices("y")))
+        p = p.select("tag", "x", "a_new", "part", F.col("bits").bitwiseXOR(F.col("mask")).alias("bits"))
+        found = p.join(q, ["tag", "part", "bits"]).where(near & wanted).select("tag", "x", "y").distinct()
     else:
         p, q = a.select("tag", "x", "a_new", F.inline(band_keys(F.col("x"), n))), b.select("tag", "y", "b_new", F.inline(band_keys(F.col("y"), n)))
         found = p.join(q, ["tag", "band", "bits"]).where(near & wanted & (F.col("band") == first_equal_band(F.col("x"), F.col("y"), n)))

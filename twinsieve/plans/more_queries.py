@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 
 from ..functions import hashes as H
 from ..functions import scalars as S
-from ..operators import groups, hamming, series
+from ..operators import hamming, series
+from ..session import checkpoint_folder, checkpointed
 from ..sources import journal
 from .queries import PAIRS3, query
 from .tables import FACTS_SQL, FILES_SQL, FP_SQL, SERIES_SQL, cases, event_series, media, runs, table, text_fingerprints
 
 
 def _shared(spark) -> str:
-    groups.checkpointed(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/twinsieve-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/twinsieve-{uuid.uuid4().hex}"
 
 
 def _text_images(spark, sf):
@@ -64,7 +64,7 @@ def sim08_aligned_conversations(spark, sf):
     turns = c.select(F.struct("conv_id", "turn").alias("doc_id"), "text")
     frames = text_fingerprints(turns).groupBy(F.col("id.conv_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("id.turn").cast("double").alias("ts"), "h", F.col("h").alias("mh")))).alias("frames"))
     hs = F.transform("frames", lambda f: f["h"])
-    videos = groups.checkpointed(frames.select("id", F.size("frames").cast("double").alias("duration"), H.xor_fold(hs).alias("h"), H.xor_fold(hs).alias("mirror"), series.stride_anchors(hs).alias("anchors"), "frames"))
+    videos = checkpointed(frames.select("id", F.size("frames").cast("double").alias("duration"), H.xor_fold(hs).alias("h"), H.xor_fold(hs).alias("mirror"), series.stride_anchors(hs).alias("anchors"), "frames"))
     points = videos.select("id", F.explode("anchors").alias("h")).distinct()
     pairs = hamming.hamming_pairs(points, 3).select("left_id", "right_id")
     return video_matches(videos, pairs, 60.0)
@@ -76,7 +76,7 @@ def jn06_incremental_matches(spark, sf):
     from ..streaming.monitor import IncrementalMatcher
 
     docs = table(spark, sf, "documents")
-    fp = groups.checkpointed(text_fingerprints(docs).join(docs.select(F.col("doc_id").alias("id"), "lang"), "id"))
+    fp = checkpointed(text_fingerprints(docs).join(docs.select(F.col("doc_id").alias("id"), "lang"), "id"))
     matcher = IncrementalMatcher(_shared(spark), 3)
     for k, lang in enumerate(("de", "en", "es")):
         matcher(fp.where(F.col("lang") == lang), k)

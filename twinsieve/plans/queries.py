@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import hashes as H
 from ..functions import scalars as S
 from ..operators import changes, cohorts, groups, hamming, series
+from ..session import checkpointed
 from .tables import FACTS_SQL, FILES_SQL, FP_SQL, LATER_SQL, MEDIA_SQL, SERIES_SQL, cases, event_series, later_media, media, modes, runs, table, text_fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,8 +168,9 @@ g AS (SELECT kind, count(DISTINCT component_id) AS groups, count(*) AS files FRO
 SELECT kind, coalesce(pairs, 0) AS pairs, coalesce(groups, 0) AS groups, coalesce(g.files, 0) AS files FROM k LEFT JOIN p USING (kind) LEFT JOIN g USING (kind)"""
 )
 def agg14_kind_stats(spark, sf):
-    pairs = hamming.hamming_pairs(_documents(spark, sf), 1)
-    return groups.kind_stats(pairs, _groups(spark, sf), media(spark, sf, False).select("id", "kind"))
+    d = _documents(spark, sf)
+    pairs = hamming.hamming_pairs(d, 1)
+    return groups.kind_stats(pairs, groups.duplicate_groups(hamming.hamming_links(d, 1)), media(spark, sf, False).select("id", "kind"))
 
 
 @query(f"WITH {FILES_SQL}, {FP_SQL}, c AS (SELECT count(*) AS candidates FROM fp a JOIN fp b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 3), p AS (SELECT sum(n * (n - 1) // 2)::BIGINT AS possible FROM (SELECT count(*) AS n FROM files GROUP BY kind)) SELECT candidates, possible, 100.0 * (1 - candidates / possible) AS reduction FROM c, p")
@@ -184,9 +186,10 @@ best AS (SELECT a AS node, max(percent) AS best FROM s GROUP BY a)
 SELECT component_id, member, best, pixels, f.size AS size_bytes, row_number() OVER (PARTITION BY component_id ORDER BY best DESC, pixels DESC, f.size DESC, member) - 1 AS place FROM grp JOIN files f ON f.id = member JOIN best ON node = member"""
 )
 def srt04_members_in_order(spark, sf):
-    pairs = hamming.hamming_pairs(_documents(spark, sf), 1).withColumn("percent", (64 - F.col("distance")) * 100.0 / 64)
+    d = _documents(spark, sf)
+    pairs = hamming.hamming_pairs(d, 1).withColumn("percent", (64 - F.col("distance")) * 100.0 / 64)
     files = media(spark, sf, False).select("id", "pixels", F.col("size").alias("size_bytes"))
-    return groups.members_in_order(_groups(spark, sf), files, groups.best_percent(pairs)).withColumn("place", F.col("place").cast("long"))
+    return groups.members_in_order(groups.duplicate_groups(hamming.hamming_links(d, 1)), files, groups.best_percent(pairs)).withColumn("place", F.col("place").cast("long"))
 
 
 @query(f"{GROUP_SQL}, {FILES_SQL.strip()}, hit AS (SELECT component_id FROM grp JOIN files f ON f.id = member GROUP BY 1 HAVING bool_or(contains(lower(path), 'src1/'))) SELECT component_id, member FROM grp WHERE component_id IN (FROM hit)")
@@ -209,12 +212,13 @@ def set06_distinct_members(spark, sf):
     return groups.distinct_members(hamming.hamming_pairs(_documents(spark, sf), 3))
 
 
-@query("SELECT least(a, b) AS \"left\", greatest(a, b) AS \"right\", max(p) AS percent FROM (SELECT s1.s_name AS a, s2.s_name AS b, 100.0::DOUBLE - abs(s1.s_acctbal - s2.s_acctbal) / 100 AS p FROM supplier s1 JOIN supplier s2 ON s1.s_nationkey = s2.s_nationkey) GROUP BY 1, 2")
+@query("SELECT least(a, b) AS \"left\", greatest(a, b) AS \"right\", max(p) AS percent FROM (SELECT x.l_suppkey AS a, y.l_suppkey AS b, 100.0::DOUBLE - abs(x.l_quantity - y.l_quantity) AS p FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber <> y.l_linenumber) GROUP BY 1, 2")
 def set01_canonical_pairs(spark, sf):
-    s = table(spark, sf, "supplier")
-    a = s.select(F.col("s_name").alias("left"), "s_nationkey", F.col("s_acctbal").alias("x"))
-    b = s.select(F.col("s_name").alias("right"), "s_nationkey", F.col("s_acctbal").alias("y"))
-    return hamming.canonical(a.join(b, "s_nationkey").select("left", "right", (100.0 - F.abs(F.col("x") - F.col("y")) / 100).alias("percent")))
+    """SET-01: suppliers of one order, an order having a few lines."""
+    l = table(spark, sf, "lineitem")
+    a = l.select(F.col("l_suppkey").alias("left"), "l_orderkey", F.col("l_linenumber").alias("i"), F.col("l_quantity").alias("x"))
+    b = l.select(F.col("l_suppkey").alias("right"), "l_orderkey", F.col("l_linenumber").alias("j"), F.col("l_quantity").alias("y"))
+    return hamming.canonical(a.join(b, "l_orderkey").where("i <> j").select("left", "right", (100.0 - F.abs(F.col("x") - F.col("y"))).alias("percent")))
 
 
 # ---------------------------------------------------------------- incremental index
@@ -253,8 +257,8 @@ def jn10_removed_files(spark, sf):
 _STORED = "stored AS (SELECT x.path AS \"left\", y.path AS \"right\", (64 - bit_count(xor(x.h, y.h))) * 100.0::DOUBLE / 64 AS percent FROM media x JOIN media y ON x.id < y.id AND bit_count(xor(x.h, y.h)) <= 3)"
 
 
-def _stored(spark, sf):
-    m = media(spark, sf)
+def _stored(spark, sf, m=None):
+    m = media(spark, sf) if m is None else m
     p = hamming.hamming_pairs(m.select("id", "h"), 3)
     a, b = m.select(F.col("id").alias("left_id"), F.col("path").alias("left")), m.select(F.col("id").alias("right_id"), F.col("path").alias("right"))
     return p.join(a, "left_id").join(b, "right_id").select("left", "right", ((64 - F.col("distance")) * 100.0 / 64).alias("percent"))
@@ -269,7 +273,8 @@ def _gone(spark, sf):
 
 @query(f"WITH {MEDIA_SQL}, {LATER_SQL}, {_STORED}, {_GONE} SELECT * FROM stored WHERE \"left\" NOT IN (FROM gone) AND \"right\" NOT IN (FROM gone)")
 def jn11_missing_cleanup(spark, sf):
-    return changes.forget(media(spark, sf, False), _stored(spark, sf), _gone(spark, sf))[1]
+    m = media(spark, sf)
+    return changes.forget(m, _stored(spark, sf, m), checkpointed(_gone(spark, sf)))[1]
 
 
 @query(f"WITH {FILES_SQL}, {LATER_SQL}, {_GONE} SELECT path, size, modified FROM files WHERE path NOT IN (FROM gone)")
@@ -281,12 +286,14 @@ def snk03_forget_files(spark, sf):
 
 @query(f"WITH {MEDIA_SQL}, {_STORED} SELECT s.*, a.size = b.size AND a.quick_hash = b.quick_hash AND a.sha256 = b.sha256 AS content_identical FROM stored s JOIN files a ON s.\"left\" = a.path JOIN files b ON s.\"right\" = b.path")
 def jn12_content_identical(spark, sf):
-    return changes.content_identical(_stored(spark, sf), media(spark, sf, False))
+    m = media(spark, sf)
+    return changes.content_identical(_stored(spark, sf, m), m)
 
 
 @query(f"WITH {MEDIA_SQL}, {LATER_SQL}, {_STORED}, fresh AS (SELECT m.path FROM media m JOIN later l ON m.path = l.path AND m.size = l.size AND m.modified = l.modified AND m.h <> 0) SELECT * FROM stored WHERE \"left\" IN (FROM fresh) AND \"right\" IN (FROM fresh) AND percent >= 97")
 def jn13_revalidate(spark, sf):
-    return changes.revalidate(_stored(spark, sf), media(spark, sf).select("path", "size", "modified", "h"), later_media(spark, sf), 97.0)
+    m = media(spark, sf)
+    return changes.revalidate(_stored(spark, sf, m), m.select("path", "size", "modified", "h"), later_media(spark, sf), 97.0)
 
 
 _CHANGED = "changed AS (SELECT path FROM files JOIN labels ON id = doc_id WHERE toxic = 1)"
@@ -295,8 +302,9 @@ _CHANGED = "changed AS (SELECT path FROM files JOIN labels ON id = doc_id WHERE
 @query(f"WITH {MEDIA_SQL}, {_STORED}, {_CHANGED}, kept AS (SELECT * FROM stored WHERE \"left\" NOT IN (FROM changed) AND \"right\" NOT IN (FROM changed)), emitted AS (SELECT * FROM stored WHERE percent >= 98), u AS (FROM kept UNION ALL FROM emitted) SELECT least(\"left\", \"right\") AS \"left\", greatest(\"left\", \"right\") AS \"right\", max(percent) AS percent FROM u GROUP BY 1, 2")
 def jn14_survivors(spark, sf):
     toxic = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
-    changed = media(spark, sf, False).join(toxic, "id", "left_semi").select("path")
-    stored = _stored(spark, sf)
+    m = media(spark, sf)
+    changed = m.join(toxic, "id", "left_semi").select("path")
+    stored = checkpointed(_stored(spark, sf, m))
     return changes.survivors(stored, changed, stored.where("percent >= 98"))
 
 

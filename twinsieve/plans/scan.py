@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashes import distance_of
 from ..operators import changes, groups, hamming
-from ..session import ship
+from ..session import checkpointed, ship
 from ..sources.media import IndexStore, fingerprint_images, scan_folder
 
 ENGINE_VERSION = "1.0.0"
@@ -28,7 +28,7 @@ class MediaIndex:
         self.pairs = IndexStore(spark, f"{store}/pairs", "left", PAIRS)
 
     def _pairs(self, files: DataFrame, changed: DataFrame | None = None) -> DataFrame:
-        rows = groups.checkpointed(files.where("h <> 0").withColumn("id", F.col("path")))
+        rows = checkpointed(files.where("h <> 0").withColumn("id", F.col("path")))
         mark = changed.select(F.col("path").alias("id")) if changed is not None else None
         found = hamming.variant_candidates(rows, distance_of(self.threshold), mark)
         return hamming.scored_pairs(rows, found, self.threshold).select(F.col("left_id").alias("left"), F.col("right_id").alias("right"), "percent")
@@ -36,9 +36,9 @@ class MediaIndex:
     def scan(self, mode: str = "full") -> dict[str, int]:
         """START_SCAN: lists the folder, fingerprints what is new or changed, drops what is gone, and matches: all pairs
         (`full`) or only those with a changed file (`delta`), with the same result."""
-        stored = groups.checkpointed(self.files.read())
-        listed = groups.checkpointed(scan_folder(self.spark, self.root).drop("content"))
-        diff = groups.checkpointed(changes.change_diff(stored, listed))
+        stored = checkpointed(self.files.read())
+        listed = checkpointed(scan_folder(self.spark, self.root).drop("content"))
+        diff = checkpointed(changes.change_diff(stored, listed))
         counts = {r[0]: r[1] for r in diff.groupBy("change").count().collect()}
         fresh = diff.where("change in ('added', 'modified')").select("path")
         content = scan_folder(self.spark, self.root).join(fresh, "path", "left_semi")
@@ -46,14 +46,14 @@ class MediaIndex:
         added = listed.join(fresh, "path", "left_semi").join(prints, "path", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("h", "mirror", *(x.split()[0] for x in _CROPS.split(", ")))})
         kept = stored.join(diff.where("change = 'unchanged'").select("path"), "path", "left_semi")
         names = [c.split()[0] for c in FILES.split(", ")]
-        files = groups.checkpointed(kept.select(*names).unionByName(added.select(*names)))
+        files = checkpointed(kept.select(*names).unionByName(added.select(*names)))
         if mode == "delta":
             gone = diff.where("change = 'deleted'").select("path")
             _, old = changes.forget(stored, self.pairs.read(), gone)
             pairs = changes.survivors(old, fresh, self._pairs(files, fresh))
         else:
             pairs = self._pairs(files)
-        pairs = groups.checkpointed(pairs)
+        pairs = checkpointed(pairs)
         self.files.replace(files)
         self.pairs.replace(pairs)
         return {k: counts.get(k, 0) for k in ("added", "modified", "unchanged", "deleted")} | {"pairs": pairs.count()}
@@ -69,13 +69,13 @@ class MediaIndex:
         """FORGET_PATHS, SNK-03."""
         gone = self.spark.createDataFrame([(p,) for p in paths], "path string")
         files, pairs = changes.forget(self.files.read(), self.pairs.read(), gone)
-        files, pairs = groups.checkpointed(files), groups.checkpointed(pairs)
+        files, pairs = checkpointed(files), checkpointed(pairs)
         self.files.replace(files)
         self.pairs.replace(pairs)
 
     def reverify(self) -> int:
         """REVERIFY_INDEX, JN-13: keeps the stored pairs that still hold."""
         states = self.files.read()
-        pairs = groups.checkpointed(changes.revalidate(self.pairs.read(), states, states, self.threshold))
+        pairs = checkpointed(changes.revalidate(self.pairs.read(), states, states, self.threshold))
         self.pairs.replace(pairs)
         return pairs.count()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashes import ASPECTS, fingerprint_of, simhash60
 from ..functions.scalars import media_kind
+from ..session import checkpointed
 
 MIRROR = 0x0F0F0F0F0F0F0F0
 
@@ -15,16 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than cores dealt evenly over the cores. Such a scan is small (a core's share of
+    spark.sql.files.maxPartitionBytes each at most); a larger one is left as it is, without an exchange."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def text_fingerprints(docs: DataFrame) -> DataFrame:
-    """(id, h): a 60-bit weighted bit vote over the words `[a-z0-9]+` of each document; 0 without words."""
-    words = docs.select(F.col("doc_id").alias("id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)).alias("w"))
-    counted = words.groupBy("id", "w").agg(F.count(F.lit(1)).alias("n"))
-    votes = counted.groupBy("id").agg(*simhash60(F.col("w"), F.col("n")))
-    return votes.select("id", fingerprint_of([f"v{i}" for i in range(60)]).alias("h"))
+    """(id, h): a 60-bit bit vote over the words `[a-z0-9]+` of each document, as a checkpoint, since joins use it on both
+    sides. A document without such words (another script, blank or null) has no row.
+
+    Votes fold in the task that reads the text, so one short row a document is exchanged, never its words."""
+    words = spread(docs.select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)).alias("w"))
+    votes = words.groupBy("id").agg(F.count(F.lit(1)).alias("many"), *simhash60(F.col("w")))
+    return checkpointed(votes.select("id", fingerprint_of("many").alias("h")))
 
 
 def media(spark: SparkSession, sf_dir: str, hashes: bool = True) -> DataFrame:
-    """Documents as files: id, path, kind, size, modified, quick_hash, sha256, duration, pixels and fingerprints."""
+    """Documents as files: id, path, kind, size, modified, quick_hash, sha256, duration, pixels; with `hashes` also fingerprints,
+    and as a checkpoint, since joins use it on both sides."""
     d = table(spark, sf_dir, "documents")
     ext = F.element_at(F.create_map(*[F.lit(x) for x in ("en", "JPG", "de", "png", "fr", "mp4", "es", "mkv")]), F.col("lang"))
     files = d.select(
@@ -38,7 +49,7 @@ def media(spark: SparkSession, sf_dir: str, hashes: bool = True) -> DataFrame:
     out = files.join(fp, "id", "left").withColumn("h", F.coalesce("h", F.lit(0).cast("long"))).withColumn("mirror", F.col("h").bitwiseXOR(F.lit(MIRROR)))
     for k, r in enumerate(ASPECTS, 1):
         out = out.withColumn(f"crop_{r}", F.shiftrightunsigned("h", k)).withColumn(f"mirror_crop_{r}", F.shiftrightunsigned("mirror", k))
-    return out
+    return checkpointed(out)
 
 
 def later_media(spark: SparkSession, sf_dir: str) -> DataFrame:

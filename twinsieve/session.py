@@ -1,12 +1,13 @@
-"""Sessions, and the package on their workers."""
+"""Sessions, the package on their workers, and the shared folder that cuts lineage."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -17,12 +18,51 @@ def ship(spark: SparkSession) -> SparkSession:
     if sc.applicationId not in _shipped:
         here = os.path.dirname(os.path.abspath(__file__))
         folder = tempfile.mkdtemp(prefix="twinsieve-")
+        atexit.register(shutil.rmtree, folder, True)
         archive = shutil.make_archive(os.path.join(folder, "twinsieve"), "zip", os.path.dirname(here), os.path.basename(here))
         sc.addPyFile(archive)
         _shipped.add(sc.applicationId)
     return spark
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors see: the one named in spark.checkpoint.dir. Only a session on a
+    single machine that names none gets a temporary one; on a cluster that is a RuntimeError."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+            named = tempfile.mkdtemp(prefix="twinsieve-")
+            atexit.register(shutil.rmtree, named, True)
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder and read from there, so that neither lost executors nor later
+    readers run the plan again."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def release(df: DataFrame) -> None:
+    """Removes the files of a checkpoint that nothing reads any more; does nothing to other DataFrames."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.getClass().getSimpleName().startswith("LogicalRDD"):
+        return
+    path = plan.rdd().getCheckpointFile()
+    if path.isDefined():
+        remove_folder(df.sparkSession, path.get())
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session as the tests and the bench use it."""
     return (
