@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from . import bloom
 from .common import LAST_ID, by_group, cut, order_id, settled, with_row_ids, without_rows
@@ -139,7 +140,7 @@ def _short(fp: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(fp, digest_size=8).digest(), "little", signed=True)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _short_of(fp):
     return fp.map(_short)
 
