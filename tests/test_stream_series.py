@@ -78,3 +78,13 @@ def test_registry_needs_no_session_and_every_twin_has_a_query():
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 60 and set(o) <= set(q); print(len(q))"
     repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     assert subprocess.run([sys.executable, "-c", code], cwd=repo, capture_output=True, timeout=120).returncode == 0
+
+
+def test_batches_are_bounded_unless_the_session_bounds_them(spark):
+    from twinsieve import session
+
+    ship(spark)
+    assert spark.conf.get(session.BATCH_KEY) == str(session.BATCH_BYTES)
+    spark.conf.set(session.BATCH_KEY, "1000000")
+    assert session.ship(spark).conf.get(session.BATCH_KEY) == "1000000"
+    spark.conf.set(session.BATCH_KEY, str(session.BATCH_BYTES))

@@ -10,11 +10,17 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch between the JVM and a Python worker, both of which hold it: by rows alone, ten thousand long texts
+#: would be one batch. A session that sets another bound than Spark's own keeps it.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Makes this package importable in the Python workers of the session's cluster, through Spark's own file server."""
+    """Makes this package importable in the Python workers of the session's cluster, through Spark's own file server, and
+    bounds the batches sent to them by their bytes."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
     if sc.applicationId not in _shipped:
         here = os.path.dirname(os.path.abspath(__file__))
         folder = tempfile.mkdtemp(prefix="twinsieve-")
