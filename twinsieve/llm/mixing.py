@@ -22,6 +22,7 @@ begin with `_ts_` and replaces others of those names.
 
 from __future__ import annotations
 
+import json
 import re
 import warnings
 
@@ -73,13 +74,19 @@ def _of(values: dict[str, float], column: str | Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col(column) if isinstance(column, str) else column)
 
 
+def _state(values: dict[str, float]) -> Column:
+    """A map literal, as one expression whatever its size."""
+    return F.from_json(F.lit(json.dumps(values)), "map<string,double>")
+
+
 def rake(cells: DataFrame, targets: list[dict[str, float] | None], temper: float = 0.7) -> DataFrame:
     """`cells` (the three dimensions and their tokens t) with raked weights w, which sum to 1: t * a[source] * b[language] *
     c[topic].
 
     While languages and topics are few (MAX_STATE each), their factors are the state of the iteration: a source is one row
-    with its cells, its factor follows from the others', and half a sweep is one aggregation to as many sums. With more of
-    them all factors are tables, joined to the cells, and a sweep is a checkpoint. Both come to the same weights."""
+    with its cells, its factor follows from the others', and a sweep is one aggregation to a sum for each language and topic
+    that occur together. With more of them all factors are tables, joined to the cells, and a sweep is a checkpoint. Both
+    come to the same weights."""
     cells = cut(cells)
     small = [cells.groupBy(d).agg(F.sum("t")).limit(MAX_STATE + 1).collect() for d in (LANG, TOPIC)]
     if not small[0]:
@@ -128,28 +135,27 @@ def _rake_state(cells: DataFrame, targets: list[dict[str, float] | None], temper
     whole = rows.agg(F.sum("raw")).first()[0] or 1.0
     b, c, off = dict.fromkeys(goal_b, 1.0), dict.fromkeys(goal_c, 1.0), 1.0
 
-    def weighed_by(b: dict, c: dict, b_out: dict, c_out: dict) -> DataFrame:
-        """Cells with their weights: sources fit under b and c, the rest by b_out and c_out."""
-        fit = F.aggregate("cells", F.lit(0.0), lambda x, y: x + y["t"] * _of(b, y["l"]) * _of(c, y["p"]))
+    def fitted(b: dict, c: dict) -> DataFrame:
+        """Cells with the factor `a` of their source, which fits sources under b and c."""
+        fit = F.aggregate("cells", F.lit(0.0), lambda x, y: x + y["t"] * _state(b)[y["l"]] * _state(c)[y["p"]])
         a = F.when(fit > 0, F.col("raw") / whole / fit).otherwise(0.0)
-        flat = rows.select(SOURCE, a.alias("a"), F.explode("cells").alias("x"))
-        return flat.select(SOURCE, F.col("x.l").alias(LANG), F.col("x.p").alias(TOPIC), F.col("x.t").alias("t"), (F.col("a") * F.col("x.t") * _of(b_out, F.col("x.l")) * _of(c_out, F.col("x.p"))).alias("w"))
-
-    def sums(df: DataFrame, dimension: str, names) -> dict[str, float]:
-        row = df.agg(*[F.coalesce(F.sum(F.when(F.col(dimension) == n, F.col("w"))), F.lit(0.0)) for n in names]).first()
-        return dict(zip(names, row))
+        return rows.select(SOURCE, a.alias("a"), F.explode("cells").alias("x")).select(SOURCE, F.col("x.l").alias(LANG), F.col("x.p").alias(TOPIC), F.col("x.t").alias("t"), "a")
 
     for _ in range(SWEEPS):
-        got = sums(weighed_by(b, c, b, c), LANG, list(b))
+        held = fitted(b, c).groupBy(LANG, TOPIC).agg(F.sum(F.col("a") * F.col("t"))).collect()
+        got = dict.fromkeys(b, 0.0)
+        for x, y, m in held:
+            got[x] += m * b[x] * c[y]
         off = max(abs(got[k] - goal_b[k]) for k in b)
-        new_b = {k: v * goal_b[k] / got[k] if got[k] > 0 else 0.0 for k, v in b.items()}
-        got = sums(weighed_by(b, c, new_b, c), TOPIC, list(c))
+        b = {k: v * goal_b[k] / got[k] if got[k] > 0 else 0.0 for k, v in b.items()}
+        got = dict.fromkeys(c, 0.0)
+        for x, y, m in held:
+            got[y] += m * b[x] * c[y]
         off = max(off, *(abs(got[k] - goal_c[k]) for k in c))
         c = {k: v * goal_c[k] / got[k] if got[k] > 0 else 0.0 for k, v in c.items()}
-        b = new_b
         if off < TOLERANCE:
             break
-    return cut(weighed_by(b, c, b, c)), off
+    return cut(fitted(b, c).select(*DIMENSIONS, "t", (F.col("a") * F.col("t") * _state(b)[F.col(LANG)] * _state(c)[F.col(TOPIC)]).alias("w"))), off
 
 
 def common_factor(cells: DataFrame, budget: float) -> float:
