@@ -46,6 +46,16 @@ def percent_of(max_distance: int) -> float:
     return 100.0 - 100.0 * min(64, max_distance) / 64
 
 
+def percent_at(max_distance: Column | str) -> Column:
+    """FLT-05 of a column."""
+    return 100.0 - F.least(F.lit(64), col(max_distance)) * 100.0 / 64
+
+
+def distance_at(percent: Column | str) -> Column:
+    """FLT-05 of a column."""
+    return F.floor((100.0 - col(percent)) * 64 / 100).cast("long")
+
+
 def distance_of(percent: float) -> int:
     """FLT-05: the largest distance at which a similarity still holds."""
     return int(64 * (100.0 - percent) // 100)

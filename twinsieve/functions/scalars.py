@@ -1,4 +1,4 @@
-"""Scalar functions on paths, versions, times, durations and settings (FLT-01, FLT-08, FLT-10, FLT-11, FLT-15, FN-04..08, FN-11..13,
+"""Scalar functions on paths, versions, times, durations and settings (FLT-01, FLT-02, FLT-08, FLT-10, FLT-11, FLT-15, FN-04..09, FN-11..13,
 FN-15, FN-18..20, FN-22, FN-23, PRJ-02, PRJ-07, PRJ-08, SNK-13)."""
 
 from __future__ import annotations
@@ -20,6 +20,12 @@ def media_kind(path: Column | str) -> Column:
     return F.when(ext.isin(*VIDEO_EXTENSIONS), VIDEO).when(ext.isin(*IMAGE_EXTENSIONS), IMAGE).otherwise(UNKNOWN)
 
 
+def in_scope(kind: Column | str, scope: str) -> Column:
+    """FLT-02: whether a file belongs to a scan of `images`, `videos` or `all` media."""
+    k = col(kind)
+    return {"images": k == IMAGE, "videos": k == VIDEO}.get(scope, k != UNKNOWN)
+
+
 def duration_gate(a: Column | str, b: Column | str) -> Column:
     """FLT-08: unknown, under a second, or at most four times as long."""
     a, b = col(a), col(b)
@@ -80,6 +86,12 @@ def stamp(text: Column | str) -> Column:
     return F.unix_timestamp(F.try_to_timestamp(t, F.lit("yyyy-MM-dd HH:mm:ss")))
 
 
+def json_string(text: Column | str) -> Column:
+    """FN-09: a JSON string literal of the text, null as null."""
+    whole = F.to_json(F.struct(col(text).alias("t")))
+    return F.when(col(text).isNotNull(), F.substring(whole, F.lit(6), F.length(whole) - 6))
+
+
 def round6(x: Column | str) -> Column:
     """FN-11: six decimals, half away from zero; what isn't finite is 0."""
     x = col(x).cast("double")

@@ -1,4 +1,4 @@
-"""Incremental indexes: what changed, what stays, what goes (JN-09 to JN-16, SNK-01 to SNK-04, SNK-09, SNK-11, SET-02 to SET-04, AGG-18 to AGG-20, FLT-03, FLT-09, FLT-13)."""
+"""Incremental indexes: what changed, what stays, what goes (JN-09 to JN-16, SRC-11, SRC-15, SNK-01 to SNK-04, SNK-09 to SNK-11, SET-02 to SET-04, AGG-18 to AGG-20, FLT-03, FLT-09, FLT-13)."""
 
 from __future__ import annotations
 
@@ -113,6 +113,37 @@ def prune_orphans(cache: DataFrame, files: DataFrame, key: str = "path") -> Data
     return cache.join(files.select(key), key, "left_semi")
 
 
+def lookups(asked: DataFrame, stored: DataFrame) -> DataFrame:
+    """SRC-11: for each file asked (path, size, modified, quick_hash) whether it is stored unchanged, its admission time (-1
+    when it is not stored) and its content hash, which holds only for an unchanged file."""
+    state = ("size", "modified", "quick_hash")
+    s = stored.select("path", *[F.col(c).alias(f"s_{c}") for c in state], "admitted_ms", F.col("sha256").alias("held"))
+    same = F.lit(True)
+    for c in state:
+        same &= F.col(c) == F.col(f"s_{c}")
+    same = F.coalesce(same, F.lit(False))
+    found = asked.select("path", *state).join(s, "path", "left")
+    return found.select("path", same.alias("unchanged"), F.coalesce("admitted_ms", F.lit(-1).cast("long")).alias("admitted_ms"), F.when(same, F.col("held")).alias("sha256"))
+
+
+CACHE_KEY = ("path", "size", "modified", "quick_hash", "cache_version", "policy")
+
+
+def cache_read(asked: DataFrame, cache: DataFrame, sound: Column) -> DataFrame:
+    """SRC-15: the files asked with their cached `payload`, null where the key differs in any part or the payload isn't sound."""
+    return asked.join(cache.where(sound).select(*CACHE_KEY, "payload"), list(CACHE_KEY), "left")
+
+
+def cache_save(cache: DataFrame, fresh: DataFrame) -> DataFrame:
+    """SNK-10: the cache with fresh payloads in the place of those of the same key."""
+    return cache.join(fresh.select(*CACHE_KEY), list(CACHE_KEY), "left_anti").unionByName(fresh)
+
+
+def purge_versions(cache: DataFrame, version: int) -> DataFrame:
+    """SNK-10: the cache without other versions."""
+    return cache.where(F.col("cache_version") == version)
+
+
 def traces(events: DataFrame) -> DataFrame:
     """SNK-04, SRC-10: per path of (path, event, at_ms, outcome): the last admission, the first start since, the last finish;
     finished_ms 0 is unfinished."""

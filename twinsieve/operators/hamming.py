@@ -1,4 +1,4 @@
-"""Exact Hamming joins on 64-bit fingerprints (JN-01 to JN-08, SRT-01, SRT-02, SET-01, SET-07).
+"""Exact Hamming joins on 64-bit fingerprints (JN-01 to JN-08, SRT-01, SRT-02, SRT-07, SET-01, SET-07).
 
 Recall is 1 under every strategy. Equal fingerprints are folded before the join, so a fingerprint shared by a third of all
 rows is one row of it; rows come back only in the final expansion, which may be left out.
@@ -186,9 +186,14 @@ def brute_best(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     return pairs.orderBy(F.desc("percent"), "i", "j").limit(1)
 
 
+def best_results(pairs: DataFrame, most: int) -> DataFrame:
+    """SRT-02, SRT-07: the pairs of the highest percents, ties by their ids, `most` at most; each task keeps as many."""
+    return pairs.orderBy(F.desc("percent"), "left_id", "right_id").limit(most)
+
+
 def canonical(pairs: DataFrame) -> DataFrame:
     """SET-01: unordered pairs as (left, right) with left <= right, once each, with their highest percent."""
     return pairs.groupBy(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).agg(F.max("percent").alias("percent"))
 
 
-__all__ = ["band_keys", "brute_best", "canonical", "hamming_links", "hamming_lists", "hamming_pairs", "hamming_probe", "percent_of", "query_by_fingerprint", "scored_pairs", "variant_candidates"]
+__all__ = ["band_keys", "best_results", "brute_best", "canonical", "hamming_links", "hamming_lists", "hamming_pairs", "hamming_probe", "percent_of", "query_by_fingerprint", "scored_pairs", "variant_candidates"]
