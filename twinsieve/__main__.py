@@ -27,11 +27,12 @@ def main(args: list[str] | None = None) -> int:
     elif a.benchmark:
         from .sources import journal
 
-        events, anomalies = journal.replay(journal.read_journals(spark, a.benchmark))
-        cases, _ = journal.cases_and_modes(events if not a.run else events.where(f"runId = '{a.run}'"))
+        lines = session.checkpointed(journal.read_journals(spark, a.benchmark))
+        events, anomalies = journal.replay(lines)
         journal.runs(events, anomalies).show(truncate=False)
-        journal.summary(cases).show(truncate=False)
+        journal.recover(lines, a.run).select("run_id", journal.console_block().alias("summary")).show(truncate=False)
     elif a.query and a.data:
+        from .plans import function_queries, journal_queries, more_queries  # noqa: F401  register their queries
         from .plans.queries import QUERIES
 
         QUERIES[a.query](spark, a.data).show(50, truncate=False)

@@ -1,4 +1,4 @@
-"""Benchmark journals: JSON lines to facts (SRC-04 to SRC-07, WIN-09, WIN-10, PRJ-01 to PRJ-05, FLT-14, AGG-10, AGG-11, SNK-05, SNK-06)."""
+"""Benchmark journals: JSON lines to facts (SRC-04 to SRC-07, WIN-09, WIN-10, PRJ-01 to PRJ-05, FLT-14, AGG-10, SNK-05, SNK-06, SNK-16, SNK-17, SNK-19)."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from ..functions.scalars import dataset_state, provenance
 
 #: The journal's event types.
 EVENT_TYPES = ("run_started", "mode_result", "case_complete", "run_finished", "run_cancelled")
+STATUSES = ("SUCCESS", "FAILED", "CANCELLED", "SKIPPED")
 SCHEMA = (
     "eventType string, recordId string, suiteId string, runId string, caseId string, timestamp string, mediaScope string, datasetFingerprint string, buildVersion string, gitCommit string, "
     "startedAt string, completedAt string, completionReason string, requestedMode string, effectiveMode string, status string, started boolean, completed boolean, elapsedMs double, "
@@ -110,7 +111,37 @@ def analysable(runs_: DataFrame) -> tuple[DataFrame, DataFrame]:
 def summary(cases: DataFrame) -> DataFrame:
     """AGG-10, SNK-06: per run committed cases, counts by status and total time."""
     count = lambda s: F.count_if(F.col("status") == s)
-    return cases.groupBy("run_id").agg(F.count(F.lit(1)).alias("cases"), *[count(s).alias(s.lower()) for s in ("SUCCESS", "FAILED", "CANCELLED", "SKIPPED")], F.sum("elapsed_ms").alias("total_ms"))
+    return cases.groupBy("run_id").agg(F.count(F.lit(1)).alias("cases"), *[count(s).alias(s.lower()) for s in STATUSES], F.sum("elapsed_ms").alias("total_ms"))
+
+
+def summary_json(rows: DataFrame) -> DataFrame:
+    """SNK-06: each run's summary as a JSON text; a time that is absent has no field."""
+    statuses = F.struct(*[F.col(s.lower()).alias(s) for s in STATUSES])
+    return rows.select("run_id", F.to_json(F.struct(F.col("run_id").alias("runId"), "cases", statuses.alias("statuses"), F.col("total_ms").alias("totalMs"))).alias("json"))
+
+
+def console_block() -> Column:
+    """SNK-19: a summary's lines for a console: cases, the statuses that occur, and seconds with two decimals if known."""
+    line = lambda name, value: F.concat(F.lit(f"{name:<9}" if len(name) < 9 else name + " "), value)
+    counts = [F.when(F.col(s.lower()) > 0, line(s.lower(), F.col(s.lower()).cast("string"))) for s in STATUSES]
+    seconds = F.when(F.col("total_ms").isNotNull(), line("seconds", F.format_string("%.2f", F.col("total_ms") / 1000)))
+    return F.concat_ws("\n", line("cases", F.col("cases").cast("string")), *counts, seconds)
+
+
+def run_records(events: DataFrame) -> DataFrame:
+    """SNK-16: per run its start and end records; a session is sound with exactly one of each."""
+    starts, ends = F.count_if(F.col("eventType") == "run_started"), F.count_if(F.col("eventType").isin("run_finished", "run_cancelled"))
+    counted = events.groupBy("journal", F.col("runId").alias("run_id")).agg(starts.alias("starts"), ends.alias("ends"))
+    return counted.withColumn("sound", (F.col("starts") == 1) & (F.col("ends") == 1))
+
+
+def recover(lines: DataFrame, run: str | None = None) -> DataFrame:
+    """SNK-17, SNK-16: the summary of journals replayed, of one run if it is named. A journal corrupt in its middle is refused."""
+    events, anomalies = replay(lines)
+    broken = anomalies.where("kind = 'MidFileCorruption'").select("journal", "line_no").first()
+    if broken:
+        raise ValueError(f"journal {broken[0]} is corrupt at line {broken[1]}")
+    return summary(cases_and_modes(events if run is None else events.where(F.col("runId") == run))[0])
 
 
 def record_id(*parts: Column | str) -> Column:

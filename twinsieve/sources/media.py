@@ -1,4 +1,4 @@
-"""Media folders as tables (SRC-01 to SRC-03, SRC-08, SRC-12, SRC-15, SRC-16, SNK-07, SNK-08, SNK-10, SNK-12, SNK-16 to SNK-19, FN-10)."""
+"""Media folders as tables (SRC-01 to SRC-03, SRC-08, SRC-12, SRC-16, SNK-07, SNK-12, FN-10, FN-14)."""
 
 from __future__ import annotations
 
@@ -34,7 +34,9 @@ def fingerprint_images(files: DataFrame) -> DataFrame:
 class IndexStore:
     """A keyed table in a folder: reading, upserting, and replacing as a whole (SRC-08, SNK-01, SNK-02, SNK-07, SNK-08, SNK-10).
 
-    A new version is written beside the old one and then named in one small file, so readers see one or the other."""
+    A new version is written beside the old one; then an empty file with the next number and the version's name makes it
+    current in one step. The version before stays for those who read it; earlier ones go. A crash between the steps leaves
+    the old version current."""
 
     def __init__(self, spark: SparkSession, folder: str, key: str, schema: str) -> None:
         self.spark, self.folder, self.key, self.schema = spark, folder.rstrip("/"), key, schema
@@ -44,11 +46,15 @@ class IndexStore:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
+    def _pointers(self) -> list[str]:
+        """Names of pointer files, the newest last; a pointer's name holds its number and its version."""
+        fs, path = self._path("")
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(n for n in names if n.startswith("CURRENT-"))
+
     def _current(self) -> str | None:
-        fs, path = self._path("CURRENT")
-        if not fs.exists(path):
-            return None
-        return self.spark.read.text(f"{self.folder}/CURRENT").first()[0]
+        names = self._pointers()
+        return names[-1].split("-", 2)[2] if names else None
 
     def read(self) -> DataFrame:
         """SRC-08."""
@@ -58,16 +64,13 @@ class IndexStore:
     def replace(self, rows: DataFrame) -> None:
         version = f"v-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.folder}/{version}")
-        fs, fresh = self._path(f"CURRENT-{version}")
-        with_name = fs.create(fresh, True)
-        with_name.write(bytearray(version.encode()))
-        with_name.close()
-        _, current = self._path("CURRENT")
-        old = self._current()
-        fs.delete(current, False)
-        fs.rename(fresh, current)
-        if old:
-            fs.delete(self._path(old)[1], True)
+        old = self._pointers()
+        number = int(old[-1].split("-", 2)[1]) + 1 if old else 1
+        fs, pointer = self._path(f"CURRENT-{number:012d}-{version}")
+        fs.create(pointer, False).close()
+        for name in old[:-1]:
+            fs.delete(self._path(name)[1], False)
+            fs.delete(self._path(name.split("-", 2)[2])[1], True)
 
     def upsert(self, rows: DataFrame) -> None:
         from ..operators.changes import upsert
