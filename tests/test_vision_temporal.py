@@ -7,6 +7,7 @@ import pytest
 
 from twinsieve.functions import temporal as t
 from twinsieve.functions import vision as v
+from twinsieve.functions.hashes import folded
 
 
 def pattern(seed):
@@ -94,7 +95,11 @@ def test_leading_offset_finds_the_opening():
 
 def test_known_digests():
     assert v.fnv1a(b"", v.FNV_STANDARD) == v.FNV_STANDARD and v.fnv1a(b"a", v.FNV_STANDARD) == 0xAF63DC4C8601EC8C
-    assert v.fold([]) != 0 and v.fold([1, 2]) != v.fold([2, 1])
+
+
+def test_folded_hashes_depend_on_order(spark):
+    rows = spark.createDataFrame([([1, 2],), ([2, 1],), ([],), (None,)], "h array<long>").select(folded("h")).collect()
+    assert len({r[0] for r in rows}) == 4 and 0 not in {r[0] for r in rows[:3]} and rows[3][0] is None
 
 
 def test_quick_hash_on_rows(spark):

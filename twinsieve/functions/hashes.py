@@ -1,4 +1,4 @@
-"""Scalar functions on 64-bit fingerprints, as column expressions (FN-01, FN-02, FLT-04..06, SIM-01..03, SIM-06, SIM-11, AGG-17)."""
+"""Scalar functions on 64-bit fingerprints, as column expressions (FN-01, FN-02, FLT-04..06, SIM-01..03, SIM-06, SIM-11, AGG-16, AGG-17)."""
 
 from __future__ import annotations
 
@@ -109,6 +109,13 @@ def xor_fold(hashes: Column | str) -> Column:
     return F.aggregate(col(hashes), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
 
 
+def folded(hashes: Column | str) -> Column:
+    """AGG-16: an identifier of a sequence of fingerprints that depends on their order: 60 bits of a SHA-256; never 0."""
+    text = F.array_join(F.transform(col(hashes), hex16), "")
+    h = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+    return F.when(h == 0, F.lit(1).cast("long")).otherwise(h)
+
+
 def hex16(h: Column | str) -> Column:
     """PRJ-07: sixteen lower-case hex digits."""
     return F.lpad(F.lower(F.hex(col(h))), 16, "0")

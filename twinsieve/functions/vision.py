@@ -1,4 +1,4 @@
-"""Pixels to fingerprints and scores on Arrow batches (SRC-12, AGG-21 to AGG-24, FN-16, FN-17, SIM-04, SIM-05, FN-03, AGG-16).
+"""Pixels to fingerprints and scores on Arrow batches (SRC-12, AGG-21 to AGG-24, FN-16, FN-17, SIM-04, SIM-05, FN-03).
 
 Everything is numpy on stacks of equal images; files are decoded once a row, BMP of 24 bits and PGM, without codecs.
 """
@@ -159,16 +159,6 @@ def fnv1a(data: bytes, basis: int = FNV_QUICK) -> int:
     return h
 
 
-def fold(hashes: list[int]) -> int:
-    """AGG-16: an identifier of a sequence of fingerprints, dependent on their order; never 0."""
-    golden = 0x9E3779B97F4A7C15
-    h = golden
-    for v in hashes:
-        h ^= v + golden + (h << 6) + (h >> 2) & _WORD
-        h = (h << 13 | h >> 51) & _WORD
-    return h or 1
-
-
 def signed(h: int) -> int:
     """The same 64 bits as Spark's long."""
     return h - (1 << 64) if h >> 63 else h

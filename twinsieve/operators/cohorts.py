@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from ..functions.scalars import round6
@@ -17,6 +17,7 @@ from ..session import checkpointed
 STATUSES = ("SUCCESS", "FAILED", "CANCELLED", "SKIPPED")
 #: Order of modes.
 MODE_RANK = {"AUTO": 0, "CPU": 1, "CUDA": 2}
+GROUPING_KEY = ("dataset_fp", "scope", "build", "commit_state", "commit")
 STATISTICS = ("min", "max", "mean", "median", "p95")
 
 
@@ -47,11 +48,15 @@ def accounting(reason: str = "reason") -> list[Column]:
     return [F.count(F.lit(1)).alias("observed"), F.count_if(r.isNull()).alias("eligible"), F.count_if(r.isNotNull()).alias("excluded")]
 
 
+def grouped(runs: DataFrame) -> GroupedData:
+    """PRJ-06: runs by all that tells their cohorts apart; nulls are a value of their own."""
+    return runs.groupBy(*GROUPING_KEY)
+
+
 def rollup(runs: DataFrame) -> DataFrame:
     """AGG-02, AGG-04: wall times of runs by dataset, by (dataset, scope) and by (dataset, scope, build, commit state, commit)."""
     rows = runs.withColumn("reason", exclusion("run_status", "wall_ms")).withColumn("value", F.when(F.col("reason").isNull(), F.col("wall_ms")))
-    keys = ["dataset_fp", "scope", "build", "commit_state", "commit"]
-    cols = [F.col(k) for k in keys]
+    cols = [F.col(k) for k in GROUPING_KEY]
     out = rows.groupingSets([cols[:1], cols[:2], cols], *cols).agg(F.grouping_id().alias("gid"), *accounting(), *statistics("value"))
     level = F.when(F.col("gid") == 15, "dataset").when(F.col("gid") == 7, "scope").otherwise("build")
     return out.withColumn("level", level).drop("gid")

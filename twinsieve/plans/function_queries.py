@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import hashes as H
 from ..functions import scalars as S
-from ..operators import changes, hamming, series
+from ..operators import changes, cohorts, hamming, series
 from .queries import PAIRS3, query
-from .tables import FILES_SQL, FP_SQL, LATER_SQL, MEDIA_SQL, SERIES_SQL, event_series, later_media, media, table, text_fingerprints
+from .tables import FACTS_SQL, FILES_SQL, FP_SQL, LATER_SQL, MEDIA_SQL, SERIES_SQL, event_series, later_media, media, modes, runs, table, text_fingerprints
 
 _QUERY_FP = f"{FP_SQL}, asked AS (SELECT id AS q, h FROM fp WHERE id % 20 = 0)"
 
@@ -275,3 +275,61 @@ def win06_kept_by_windows(spark, sf):
     f = event_series(spark, sf).where("value >= 6").select("key", F.col("id").alias("i"), F.col("t").alias("ts"), F.col("value").alias("sd"))
     win = F.dense_rank().over(Window.partitionBy("key").orderBy(F.floor(F.col("ts") / 3600))) - 1
     return series.kept_by_windows(f.withColumn("win", win), 5)
+
+
+@query("""WITH f AS (SELECT conv_id, turn, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS h FROM conversations)
+SELECT conv_id, count(*) AS frames, ('0x' || substr(sha256(string_agg(lpad(lower(hex(h)), 16, '0'), '' ORDER BY turn, h)), 1, 15))::BIGINT AS folded FROM f GROUP BY conv_id""")
+def agg16_folded_hashes(spark, sf):
+    """AGG-16: conversations as videos whose frames are turns."""
+    h = F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 15), 16, 10).cast("long")
+    frames = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("frames"), F.array_sort(F.collect_list(F.struct("turn", h.alias("h")))).alias("f"))
+    return frames.select("conv_id", "frames", H.folded(F.transform("f", lambda x: x["h"])).alias("folded"))
+
+
+_CREDIT_FRAMES = """f AS (SELECT key, (row_number() OVER (PARTITION BY key ORDER BY t, id) - 1) * 5.0::DOUBLE AS ts, value AS mean, value % 4 AS delta, 100 - value AS edge, value < 2 AS low FROM series),
+n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY key) AS n, max(ts) OVER (PARTITION BY key) + 5 AS duration FROM f)"""
+
+
+@query(f"""WITH {SERIES_SQL}, {_CREDIT_FRAMES}, b AS (SELECT key, list_sort(list(edge)) AS e FROM n WHERE i < floor(n * 4 / 5) AND NOT low GROUP BY key),
+t AS (SELECT n.*, e[len(e) // 2 + 1] AS base FROM n JOIN b USING (key) WHERE ts >= duration - 120), d AS (SELECT *, mean < 45 AND delta < 3 AND NOT low AND base > 0.5 AND edge > 1.5 * base AS dark FROM t),
+s AS (SELECT *, sum(CASE WHEN dark THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY ts) AS island, coalesce(lead(ts) OVER (PARTITION BY key ORDER BY ts), duration) AS next FROM d),
+r AS (SELECT key, island, min(ts) AS start, max(next) AS stop FROM s WHERE dark GROUP BY ALL) SELECT key, min(start) AS start, greatest(0, min(start) - 5) AS main_end FROM r WHERE stop - start >= 10 GROUP BY key""")
+def sim16_credit_runs(spark, sf):
+    """SIM-16: each user's events as frames five seconds apart."""
+    e = event_series(spark, sf)
+    ts = (F.row_number().over(Window.partitionBy("key").orderBy("t", "id")) - 1) * 5.0
+    v = F.col("value")
+    f = e.select("key", ts.alias("ts"), v.alias("mean"), (v % 4).alias("delta"), (100 - v).alias("edge"), (v < 2).alias("low_info"))
+    return series.credit_runs(f.withColumn("duration", F.max("ts").over(Window.partitionBy("key")) + 5))
+
+
+@query("""WITH k AS (SELECT doc_id AS key, 4 + doc_id % 30 AS n, CASE doc_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 1.5 WHEN 2 THEN 2.25 ELSE 0.5 END::DOUBLE AS c FROM documents),
+fine AS (SELECT key, unnest(range(n)) * 0.5::DOUBLE AS ts FROM k), coarse AS (SELECT key, unnest(range(1 + key % 9)) * c AS ts FROM k),
+ok AS (SELECT key, c, greatest(key % 9, 0) AS core, (key % 9) * c AS finish FROM k WHERE key % 9 >= 1 AND c / 0.5 >= 2 AND abs(c / 0.5 - round(c / 0.5)) <= 0.01),
+met AS (SELECT f.key, f.ts, f.ts < finish AS is_core, core FROM fine f JOIN coarse c ON c.key = f.key AND round(c.ts * 1000) = round(f.ts * 1000) JOIN ok ON ok.key = f.key),
+good AS (SELECT key FROM met GROUP BY key HAVING count(*) >= 3 AND any_value(core) > 0 AND count(*) FILTER (WHERE is_core) * 5 >= any_value(core) * 4)
+SELECT key, ts FROM met WHERE key IN (FROM good)""")
+def jn18_aligned_grids(spark, sf):
+    """JN-18: a grid of half seconds and one of a step by document."""
+    d = F.col("doc_id")
+    k = table(spark, sf, "documents").select(d.alias("key"), (4 + d % 30).alias("n"), F.when(d % 4 == 0, 1.0).when(d % 4 == 1, 1.5).when(d % 4 == 2, 2.25).otherwise(0.5).alias("c"))
+    fine = k.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).select("key", (F.col("i") * 0.5).alias("ts"))
+    coarse = k.select("key", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("key") % 9)).alias("i")).select("key", (F.col("i") * F.col("c")).alias("ts"))
+    return series.aligned_grids(fine, coarse)
+
+
+_RANK = "CASE {0} WHEN 'AUTO' THEN 0 WHEN 'CPU' THEN 1 WHEN 'CUDA' THEN 2 ELSE 99 END"
+
+
+@query(f"WITH {FACTS_SQL}, m AS (SELECT DISTINCT run_id, requested_mode, effective_mode FROM modes) SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY {_RANK.format('requested_mode')}, {_RANK.format('effective_mode')}) AS place FROM m")
+def srt08_ordered_modes(spark, sf):
+    """SRT-08: each run's modes in their order."""
+    m = modes(spark, sf).select("run_id", "requested_mode", "effective_mode").distinct()
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy(cohorts.mode_order("requested_mode"), cohorts.mode_order("effective_mode")))
+    return m.withColumn("place", place.cast("long"))
+
+
+@query(f"WITH {FACTS_SQL} SELECT dataset_fp, scope, build, commit_state, commit, count(*) AS runs FROM runs GROUP BY ALL")
+def prj06_grouping_keys(spark, sf):
+    """PRJ-06."""
+    return cohorts.grouped(runs(spark, sf)).agg(F.count(F.lit(1)).alias("runs"))

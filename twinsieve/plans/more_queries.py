@@ -36,7 +36,9 @@ def src12_image_fingerprints(spark, sf):
     return fingerprint_images(_text_images(spark, sf).select("path", "content"))
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, left(hex(encode(text)), 131072) AS x FROM documents),
+h AS (SELECT doc_id, list_reduce(list_prepend(1469598103934665603::HUGEINT, [('0x' || substr(x, 2 * i + 1, 2))::INT::HUGEINT FOR i IN range(length(x) // 2)]), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS h FROM d)
+SELECT doc_id, h::VARCHAR AS quick_hash FROM h""")
 def src03_quick_hash(spark, sf):
     """SRC-03: FNV-1a of the first 64 KiB, which is what a quick hash is."""
     from ..functions.vision import quick_hash
@@ -120,7 +122,10 @@ def fn12_sampling_grid(spark, sf):
     return media(spark, sf, False).where("duration > 0").select("id", F.size(S.sampling_grid("duration")).cast("long").alias("samples"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SERIES_SQL}, m AS (SELECT key, median(value) AS med FROM series GROUP BY key), th AS (SELECT key, greatest(8, any_value(med) + 3 * median(abs(value - med))) AS th FROM series JOIN m USING (key) GROUP BY key),
+f AS (SELECT key, t, value >= th AS cut, row_number() OVER (PARTITION BY key ORDER BY t, value >= th) AS i FROM series JOIN th USING (key)),
+r AS (SELECT key, i, t AS last, true AS b FROM f WHERE i = 1 UNION ALL SELECT f.key, f.i, CASE WHEN f.cut AND f.t - r.last >= 1 THEN f.t ELSE r.last END, f.cut AND f.t - r.last >= 1 FROM r JOIN f ON f.key = r.key AND f.i = r.i + 1)
+SELECT key, last AS ts FROM r WHERE b""")
 def win08_scene_boundaries(spark, sf):
     """WIN-08, AGG-26: boundaries of each user's series above its own threshold."""
     e = event_series(spark, sf).select("key", F.col("t").alias("ts"), F.col("value").alias("delta"))
@@ -134,7 +139,10 @@ def fn20_memory_load(spark, sf):
     return e.groupBy("load").agg(F.count(F.lit(1)).alias("samples"), F.countDistinct("key").alias("users"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SERIES_SQL}, s AS (SELECT key, t, CASE WHEN value >= 95 THEN 'Critical' WHEN value >= 90 THEN 'Heavy' WHEN value >= 80 THEN 'Busy' WHEN value >= 65 THEN 'Light' ELSE 'Idle' END AS value FROM series),
+f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, value) AS i FROM s),
+r AS (SELECT key, i, t, value, true AS b FROM f WHERE i = 1 UNION ALL SELECT f.key, f.i, CASE WHEN f.value <> r.value AND f.t - r.t >= 3600 THEN f.t ELSE r.t END, CASE WHEN f.value <> r.value AND f.t - r.t >= 3600 THEN f.value ELSE r.value END, f.value <> r.value AND f.t - r.t >= 3600 FROM r JOIN f ON f.key = r.key AND f.i = r.i + 1)
+SELECT key, t, value FROM r WHERE b""")
 def str14_published_loads(spark, sf):
     """STR-14: load classes of each user published with a hold time of an hour."""
     e = event_series(spark, sf).select("key", "t", S.load_class(F.lit(0.0), "value", F.lit(-1.0)).alias("value"))
