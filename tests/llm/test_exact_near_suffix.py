@@ -1,6 +1,7 @@
 """Operators 8, 3 and 4 against brute force on odd documents."""
 
 import hashlib
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -9,7 +10,8 @@ import pytest
 import pyarrow as pa
 
 from twinsieve.llm import exact, near, suffix
-from twinsieve.llm.common import shingles, words
+from twinsieve.llm.common import by_group, shingles, slices, words
+from twinsieve.session import _checkpoint_file, release
 
 BIG = (1 << 63) - 1
 
@@ -165,3 +167,37 @@ def test_repeated_passages_of_other_lengths(spark, least):
 def test_least_must_be_longer_than_the_strings_looked_up(docs):
     with pytest.raises(ValueError):
         suffix.remove_repeats(docs, suffix.GRAM)
+
+
+def test_segments_of_a_slice_take_bounded_memory():
+    import tracemalloc
+
+    text = np.random.default_rng(5).integers(97, 123, 4 << 20).astype(np.uint8)
+    offsets = np.arange(0, len(text) + 1, 2048)
+    suffix.segments(text[:4096], offsets[:3], 100)  # grows the table of powers
+    tracemalloc.start()
+    many = 0
+    for lo, hi in slices(offsets, suffix.SLICE):
+        many += int(suffix.segments(text[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], 100)[2].sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert many == (len(offsets) - 1) * (2048 - 99)  # every window is in one segment
+    assert peak < 48 << 20
+
+
+def test_hot_groups_meet_without_an_anti_join(spark):
+    rows = spark.createDataFrame([(7, k) for k in range(300)] + [(k, k) for k in range(20, 60)] + [(None, k) for k in range(50)], "key long, x long").checkpoint()
+    groups = spark.createDataFrame([(7, 300, "hot"), *((k, 1, "rare") for k in range(20, 40))], "key long, many long, name string").checkpoint()
+    out = by_group(rows, groups, "key", "many")
+    assert "LeftAnti" not in out._jdf.queryExecution().executedPlan().toString()
+    want = Counter([(7, "hot")] * 300 + [(k, "rare" if k < 40 else None) for k in range(20, 60)] + [(None, None)] * 50)
+    assert Counter((r.key, r.name) for r in out.collect()) == want
+
+
+def test_small_checkpoints_are_read_by_few_tasks(spark):
+    df = near.cut(spark.range(1000).repartition(90))
+    assert df._jdf.queryExecution().toRdd().getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in df.collect()) == list(range(1000))
+    path = _checkpoint_file(df)
+    release(df)
+    assert path and not os.path.exists(path.removeprefix("file:"))

@@ -112,14 +112,19 @@ def by_group(rows: DataFrame, groups: DataFrame, key: str | list[str], many: str
     """`rows` left-joined with `groups`, a checkpoint with one row a key and the number of its rows in `many`.
 
     Groups of more than a thousandth of all rows, which are under a thousand, are broadcast to their rows, so that none meets
-    in one task; the others meet by key. `total` is the number of rows, where it is known. Rows without a key join nothing and stay where they are."""
+    in one task; the others meet by key. Both sides tell the two apart by a hash of the key against the list of hot ones, so
+    no join over all rows is needed for it; a key that shares a hot one's hash is dealt as hot on both sides, which changes
+    no result. `total` is the number of rows, where it is known. Rows without a key join nothing and stay where they are."""
     keys = [key] if isinstance(key, str) else key
     limit = max(LEAST_HOT, (rows.count() if total is None else total) // 1000)
-    hot, rest = groups.where(F.col(many) > limit), groups.where(F.col(many) <= limit)
+    hashes = [r[0] for r in groups.where(F.col(many) > limit).select(F.xxhash64(*keys)).distinct().collect()]
     nameless = F.lit(False)
     for k in keys:
         nameless |= F.col(k).isNull()
-    out = rows.where(~nameless).join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, "left").unionByName(rows.join(F.broadcast(hot), keys))
+    hot = F.xxhash64(*keys).isin(hashes)
+    out = rows.where(~nameless & ~hot).join(groups.where(~hot), keys, "left")
+    if hashes:
+        out = out.unionByName(rows.where(~nameless & hot).join(F.broadcast(groups.where(hot)), keys, "left"))
     return out.unionByName(rows.where(nameless), allowMissingColumns=True)
 
 

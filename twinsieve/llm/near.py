@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed, compact, release
 from . import bloom
-from .common import LAST_ID, by_group, components, cut, flat, mix, order_id, settled, shingles, slices, with_row_ids, without_rows, words
+from .common import LAST_ID, by_group, components, flat, mix, order_id, settled, shingles, slices, with_row_ids, without_rows, words
 
 SYMBOLS, CHUNK = 40, 4
 _FACTORS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -41,6 +42,11 @@ FAR = 23
 SCREEN, BLOCK, BLOCK_SHINGLES, WIDE = 4096, 512, 1 << 18, 4096
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint from which no row ids are drawn."""
+    return compact(checkpointed(df))
+
+
 def sketch(batches):
     """Per row: number of shingles, a 128-bit digest of the set, the signature."""
     for batch in batches:
@@ -228,6 +234,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     counts = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"))
     live = cut(by_group(keys, counts, "key", "many", SYMBOLS * many_classes).where("many is not null"))
     weight = live.groupBy("node").agg(F.sum("many").alias("w"))
+    release(counts)
     weight = cut(weight.select("node", F.shiftleft("w", 24).bitwiseOR(F.xxhash64("node").bitwiseAND(F.lit(0xFFFFFF))).alias("weight")))
     n = weight.count()
     label = None
@@ -240,6 +247,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         top = live.join(weight, "node").groupBy("key").agg(F.max("weight").alias("weight"), F.max("many").alias("many"))
         top = cut(top.join(weight.groupBy("weight").agg(F.min("node").alias("hub")), "weight").select("key", "hub", "many"))
         held = cut(by_group(live.select("key", "node"), top, "key", "many").select("key", "node", "hub"))
+        release(live), release(top)
         pairs = held.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
         x, y = info.alias("x"), info.alias("y")
         stars = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_near("x", "y")).select("a", "b")
