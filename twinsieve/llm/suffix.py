@@ -36,6 +36,8 @@ from .common import LAST_ID, _BASE, _Powers, bucket_of, buckets_of, cut, flat, m
 GRAM = 20
 #: Bytes that a task holds before it sends them, and bytes whose suffixes are sorted at a time.
 HOLD, SORT = 6 << 20, 512 << 10
+#: Bytes of text whose windows are hashed at a time (some thirty times as many bytes of arrays), and keys that are counted.
+SLICE, KEYS = 128 << 10, 1 << 20
 MAX_FILTER = 32 << 20
 #: Segments from which a key is split, and how many smallest hashes then join it.
 HOT, EXTRA = 4096, 3
@@ -104,11 +106,11 @@ def _key_counts(docs: DataFrame, n: int, least: int) -> DataFrame:
 
         for batch in batches:
             data, offsets = flat(batch["text"])
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, SLICE):
                 _, _, _, key, _, _, inner, _ = segments(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], least)
                 held += [key, key[inner]]  # a key that may repeat within a segment counts as two
                 size += len(key)
-                if size > 1 << 21:
+                if size > KEYS:
                     yield send()
                     held, size = [], 0
         if held:
@@ -235,7 +237,7 @@ def _send_segments(docs: DataFrame, n: int, least: int, sieve, hot) -> DataFrame
         for batch in batches:
             data, offsets = flat(batch["text"])
             oid, rid = batch["_oid"].to_numpy(), batch["_rid"].to_numpy()
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, SLICE):
                 part = data[offsets[lo] : offsets[hi]]
                 row, start, windows, key, digest, at, inner, plain = segments(part, offsets[lo : hi + 1] - offsets[lo], least, hot.value)
                 hit = np.flatnonzero(bloom.probe(sieve.value, plain.view(np.int64))) if len(key) else np.zeros(0, np.int64)
