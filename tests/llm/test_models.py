@@ -119,3 +119,15 @@ def test_clean_tokens_decode_to_themselves():
     model = np.log(np.full((28, 28, 28), 1 / 28))
     d = toxicity.Decoder(model)
     assert d.read(b"plain") == b"plain" and d.read(b"sooo") in (b"so", b"soo") and d.read(b"a%%%") == b"a"
+
+
+def test_a_fold_of_pairs_takes_bounded_memory():
+    import tracemalloc
+
+    tokens = np.random.default_rng(4).integers(0, 5000, lm._MERGE).astype(np.uint64)
+    tracemalloc.start()
+    h, c, _ = lm._fold(lm.pairs(tokens), None, tokens)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert c.sum() == len(tokens) and np.array_equal(h, np.unique(lm.pairs(tokens)))
+    assert peak < 96 << 20

@@ -34,7 +34,8 @@ MAX_BROADCAST = 128 << 20
 UNKNOWN = np.uint8(255)
 END = np.uint64(0x2545F4914F6CDD1D)
 _G = np.uint64(0x9E3779B97F4A7C15)
-_MERGE = 1 << 22
+#: Tokens (or hashes) that a task folds at a time: sorting takes some hundred bytes each.
+_MERGE = 1 << 20
 
 
 def stream(column: pa.Array):
@@ -62,12 +63,13 @@ def _packed(n: int, h: np.ndarray, *more: np.ndarray):
     return [pa.array(full.astype(np.int32))] + [pa.array([x[lo:hi].tobytes() for lo, hi in cuts], pa.binary()) for x in (h, *more)]
 
 
-def _fold(h: np.ndarray, c: np.ndarray, extra: np.ndarray | None = None):
-    """Sums of counts by hash, sorted."""
+def _fold(h: np.ndarray, c: np.ndarray | None, extra: np.ndarray | None = None):
+    """Sums of counts by hash, sorted; without counts each hash counts once."""
     order = np.argsort(h)
     h = h[order]
     first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-    return h[first], np.add.reduceat(c[order], first) if len(first) else c[:0], extra[order][first] if extra is not None else None
+    counts = np.diff(np.append(first, len(h))) if c is None else np.add.reduceat(c[order], first) if len(first) else c[:0]
+    return h[first], counts, extra[order[first]] if extra is not None else None
 
 
 class LogFrequencyFilter:
@@ -142,7 +144,7 @@ def _word_counts(train: DataFrame, n: int) -> DataFrame:
 
         def send():
             h = np.concatenate(held)
-            return pa.RecordBatch.from_arrays(_packed(n, *_fold(h, np.ones(len(h), np.int64))[:2]), names=["bucket", "h", "c"])
+            return pa.RecordBatch.from_arrays(_packed(n, *_fold(h, None)[:2]), names=["bucket", "h", "c"])
 
         for batch in batches:
             for _, tokens, _ in stream(batch["text"]):
@@ -251,7 +253,7 @@ def _pair_filter(train: DataFrame, n: int, levels: WordLevels, word_rows: DataFr
         held, size = [], 0
 
         def send():
-            h, c, x = _fold(*(np.concatenate([y[k] for y in held]) for k in range(3)))
+            h, c, x = _fold(np.concatenate([y[0] for y in held]), None, np.concatenate([y[1] for y in held]))
             q = levels.of(x)
             known = q != UNKNOWN
             rows = _packed(n, h[known], c[known].astype(np.uint32), q[known])
@@ -264,7 +266,7 @@ def _pair_filter(train: DataFrame, n: int, levels: WordLevels, word_rows: DataFr
 
         for batch in batches:
             for _, tokens, _ in stream(batch["text"]):
-                held.append((pairs(tokens), np.ones(len(tokens), np.int64), _before(tokens)))
+                held.append((pairs(tokens), _before(tokens)))
                 size += len(tokens)
                 if size >= _MERGE:
                     yield from send()
