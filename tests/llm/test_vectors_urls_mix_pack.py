@@ -283,3 +283,15 @@ def test_sql_twins_on_odd_rows(spark, docs, tmp_path):
             db.sql(f"CREATE VIEW {of} AS SELECT * FROM '{folder}/{of}.parquet/*.parquet'")
             out, twin = queries.queries()[name](spark, folder), db.sql(queries.oracle_sql()[name])
             assert out.columns == twin.columns and Counter(map(tuple, out.collect())) == Counter(twin.fetchall())
+
+
+def test_cells_of_vectors_do_not_depend_on_the_size_of_the_input(spark, monkeypatch):
+    ship(spark)
+    used, cell_rows = [], embeddings.cell_rows
+    monkeypatch.setattr(embeddings, "cell_rows", lambda *a: used.append(a) or cell_rows(*a))
+    df = spark.createDataFrame([(i, [1.0, float(i)] * 4, 0) for i in range(4)], "vec_id long, embedding array<float>, label int")
+    got = []
+    for bound in (10**9, 0):
+        monkeypatch.setattr(embeddings, "WIDE_FROM", bound, raising=False)
+        got.append(sorted(tuple(r) for r in embeddings.near_groups(df).collect()))
+    assert used[0] == used[1] and got[0] == got[1]

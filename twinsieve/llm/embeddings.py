@@ -6,10 +6,10 @@ nearest ones in each projection) whose squared distances together are at most RE
 that meet with equal labels are verified by their cosine in double precision. Equal vectors are one class from the start,
 counted but never paired.
 
-Cells follow the data: with two projections a table there are about a million of them a label, beyond WIDE_FROM different
-vectors a third one makes it a thousand times as many, and more tables keep the recall. Measured at a cosine of exactly
-0.98 and 64 and 384 dimensions one table finds 0.90 of the pairs with two projections and 0.76 with three, so the tables
-together miss 0.0001 and 0.0002 of them; pairs above 0.98 are surer.
+A table has two projections, so about a million cells a label, at any size of the input: which links are found must not
+depend on what else is in the table. Measured at a cosine of exactly 0.98 and 64 and 384 dimensions one table finds 0.90 of
+the pairs, so the tables together miss 0.0001 of them; pairs above 0.98 are surer. A label of many million different
+vectors therefore has many in a cell, which costs time, not links.
 
 Vectors that are null, empty or zero or hold null or non-finite numbers, and those without a label, link with nothing.
 Vectors of different lengths never meet. Repeated rows are rows; null ids come last and stay null. An empty table gives
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import LAST_ID, by_group, components, cut, mix, order_id
 
 #: Projections a table, and tables.
-NARROW, WIDE, WIDE_FROM = (2, 4), (3, 6), 4_000_000
+BLOCKS, TABLES = 2, 4
 SCALE, REACH, SEED = 2.0, 0.5, 20240229
 
 
@@ -170,8 +170,7 @@ def near_groups(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     clean = cut(own.mapInArrow(clean_vectors, "_rid long, _oid long, label long, v binary").withColumn("d", F.unhex(F.sha2("v", 256))))
     classes = clean.where(F.col("v").isNotNull()).groupBy("label", "d").agg(F.first("v").alias("v"), F.min("_oid").alias("mid"), F.count(F.lit(1)).alias("size"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
-    blocks, tables = NARROW if classes.count() <= WIDE_FROM else WIDE
-    found = cut(classes.select("node", "label", "v").mapInArrow(cell_rows(blocks, tables), "key long, node long, own boolean"))
+    found = cut(classes.select("node", "label", "v").mapInArrow(cell_rows(BLOCKS, TABLES), "key long, node long, own boolean"))
     stored, asked = found.where("own").select("key", F.col("node").alias("x")), found.select("key", F.col("node").alias("y"))
     pairs = stored.join(asked, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     p = classes.select(F.col("node").alias("a"), F.col("v").alias("p"), F.col("label").alias("la"), F.col("size").alias("sa"))
