@@ -1,6 +1,7 @@
 """Journal replay: duplicates, torn tails, corruption, commits."""
 
 import json
+import re
 
 from twinsieve.operators import cohorts
 from twinsieve.sources import journal
@@ -58,3 +59,19 @@ def test_skipped_is_never_counted_as_zero(spark):
     rows = spark.createDataFrame([("d", "s", "b", "Known", "c", "SUCCESS", 10.0, 1), ("d", "s", "b", "Known", "c", "SKIPPED", 0.0, 2), ("d", "s", "b", "Known", "c", "SUCCESS", None, 3)], "dataset_fp string, scope string, build string, commit_state string, commit string, run_status string, wall_ms double, run_id long")
     top = cohorts.rollup(rows).where("level = 'dataset'").first()
     assert (top.observed, top.eligible, top.excluded, top["mean"]) == (3, 1, 2, 10.0)
+
+
+def test_no_task_gathers_a_journal(spark):
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    sf = "/root/testdata/sf0.001"
+    out = queries()["src05_journal_replay"](spark, sf)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and not re.search(r"windowspecdefinition\(journal#\d+, specified", plan)
+    db = duckdb.connect()
+    for name in ("orders", "lineitem", "customer"):
+        db.sql(f"CREATE VIEW {name} AS FROM '{sf}/{name}.parquet'")
+    row = lambda r: (*r[:-1], round(float(r[-1]), 6))
+    assert sorted(row(r) for r in out.collect()) == sorted(row(r) for r in db.sql(oracle_sql()["src05_journal_replay"]).fetchall())

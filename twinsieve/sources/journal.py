@@ -40,13 +40,15 @@ def replay(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """SRC-05, WIN-09: typed events and anomalies of each journal.
 
     An unterminated last line is dropped and told. The first complete line that can't be read or has an unknown type is
-    fatal: nothing from it on counts. Of lines with one recordId the first counts, whatever run it is of."""
+    fatal: nothing from it on counts. Of lines with one recordId the first counts, whatever run it is of. `line_no` is any
+    column that orders a journal's lines."""
     full = lines.where(~F.col("last") & (F.col("line") != ""))
     tails = lines.where(F.col("last") & (F.col("line") != "")).select("journal", "line_no", F.lit("TruncatedTail").alias("kind"))
     typed = full.withColumn("e", F.from_json("line", SCHEMA))
     bad = F.col("e.eventType").isNull() | F.col("e.recordId").isNull() | ~F.col("e.eventType").isin(*EVENT_TYPES)
-    w = Window.partitionBy("journal")
-    typed = typed.withColumn("stop", F.min(F.when(bad, F.col("line_no"))).over(w))
+    # a minimum folds before its exchange; a window would gather each whole journal in one task
+    stops = typed.where(bad).groupBy(F.col("journal").alias("stopped")).agg(F.min("line_no").alias("stop"))
+    typed = typed.join(stops, F.col("journal").eqNullSafe(F.col("stopped")), "left").drop("stopped")
     fatal = typed.where("line_no = stop").select("journal", "line_no", F.lit("MidFileCorruption").alias("kind"))
     good = typed.where(F.col("stop").isNull() | (F.col("line_no") < F.col("stop")))
     same = Window.partitionBy("journal", F.col("e.recordId")).orderBy("line_no")
