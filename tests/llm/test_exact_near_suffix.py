@@ -10,7 +10,7 @@ import pytest
 import pyarrow as pa
 
 from twinsieve.llm import exact, near, suffix
-from twinsieve.llm.common import by_group, shingles, slices, words
+from twinsieve.llm.common import bucket_of, by_group, shingles, slices, words
 from twinsieve.session import _checkpoint_file, release
 
 BIG = (1 << 63) - 1
@@ -185,6 +185,14 @@ def test_segments_of_a_slice_take_bounded_memory():
     assert peak < 48 << 20
 
 
+def test_keys_fill_buckets_evenly():
+    text = np.random.default_rng(6).integers(97, 123, 1 << 18).astype(np.uint8)
+    key, plain = (suffix.segments(text, np.array([0, len(text)]), 100)[k] for k in (3, 7))
+    for keys in (key, plain):
+        filled = np.bincount(bucket_of(keys, 64).astype(int), minlength=64)
+        assert filled.max() < 2 * filled.mean() and filled.min() > 0
+
+
 def test_hot_groups_meet_without_an_anti_join(spark):
     rows = spark.createDataFrame([(7, k) for k in range(300)] + [(k, k) for k in range(20, 60)] + [(None, k) for k in range(50)], "key long, x long").checkpoint()
     groups = spark.createDataFrame([(7, 300, "hot"), *((k, 1, "rare") for k in range(20, 40))], "key long, many long, name string").checkpoint()

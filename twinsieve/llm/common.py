@@ -162,7 +162,7 @@ class _Powers:
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            size = 1 << max(21, (n - 1).bit_length())
+            size = 1 << max(17, (n - 1).bit_length())
             b, i = np.full(size, _BASE & _M, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
             b[0] = i[0] = 1
             cls.up, cls.down = np.multiply.accumulate(b), np.multiply.accumulate(i)

@@ -55,8 +55,9 @@ def sliding(a: np.ndarray, width: int, of=np.minimum) -> np.ndarray:
 
 def segments(data: np.ndarray, offsets: np.ndarray, least: int, hot=None):
     """(row, start in the row, windows, key, digest, start in data, whether a window may repeat within, key before splitting)
-    of each segment of rows end to end; `hot` is a filter of the keys to split. Equal windows of one segment have the key's
-    string at two places, with no other key's between."""
+    of each segment of rows end to end; `hot` is a filter of the keys to split. Keys are scrambled, since minima crowd at the
+    low end and buckets follow the order of keys. Equal windows of one segment have the key's string at two places, with no
+    other key's between."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < least:
@@ -72,7 +73,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, least: int, hot=None):
     tied = h[chosen[1:]][(h[chosen[1:]] == h[chosen[:-1]]) & (np.diff(chosen) <= reach)]
     plain = low
     if hot is not None:
-        split = bloom.probe(hot, low.view(np.int64))
+        split = bloom.probe(hot, mix(low).view(np.int64))
         if split.any():
             low = low.copy()
             for k in range(1, EXTRA + 1):
@@ -87,7 +88,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, least: int, hot=None):
     stop[:-1] &= (low[1:] != low[:-1]) | ~good[1:]
     windows = np.flatnonzero(stop) + 1 - start
     digest = mix((sums[start + windows + least - 1] - sums[start]) * down[start] + windows.astype(np.uint64) * np.uint64(_BASE))
-    return row[start], start - offsets[row[start]], windows, low[start], digest, start, np.isin(plain[start], tied) if len(tied) else np.zeros(len(start), bool), plain[start]
+    inner = np.isin(plain[start], tied) if len(tied) else np.zeros(len(start), bool)
+    return row[start], start - offsets[row[start]], windows, mix(low[start]), digest, start, inner, mix(plain[start])
 
 
 def _key_counts(docs: DataFrame, n: int, least: int) -> DataFrame:
