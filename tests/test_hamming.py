@@ -62,3 +62,10 @@ def test_links_connect_as_all_pairs_do(spark):
     a = {(r.node, r.root) for r in groups.connected_components(hamming.hamming_links(df, 2)).collect()}
     b = {(r.node, r.root) for r in groups.connected_components(hamming.hamming_pairs(df, 2).selectExpr("left_id a", "right_id b")).collect()}
     assert a == b
+
+
+def test_sure_pairs_need_no_images(spark):
+    from twinsieve.functions.vision import verified_pairs
+
+    pairs = spark.createDataFrame([(1, 2, 0), (1, 3, 1)], "left_id long, right_id long, distance int")
+    assert [r.percent for r in verified_pairs(pairs, None, 1).orderBy("right_id").collect()] == [100.0, 63 * 100.0 / 64]
