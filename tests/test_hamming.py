@@ -1,6 +1,7 @@
 """Hamming joins against brute force, with the fixture values of the survey."""
 
 import random
+import re
 
 import pytest
 
@@ -64,6 +65,58 @@ def test_links_connect_as_all_pairs_do(spark):
     assert a == b
 
 
+def last_step(df):
+    """The plan from the result down to the first join."""
+    return df._jdf.queryExecution().executedPlan().toString().split("Join")[0].split("CartesianProduct")[0]
+
+
+@pytest.mark.parametrize("strategy, d", [("theta", 3), ("bands", 3), ("slices", 3), ("bands", 8)])
+def test_pairs_of_copies_are_not_exchanged(spark, strategy, d):
+    rows = [(i, 0xFF << (i % 7)) for i in range(300)]
+    df = spark.createDataFrame([(i, signed(h)) for i, h in rows], "id long, h long")
+    out = hamming.hamming_pairs(df, d, strategy)
+    top = last_step(out)
+    assert "Exchange" not in top and "Aggregate" not in top
+    assert sorted((r.left_id, r.right_id) for r in out.collect()) == sorted(brute(rows, d))
+
+
+def test_slices_enumerate_only_what_the_distance_asks_for(spark):
+    df = spark.createDataFrame([(i, i) for i in range(10)], "id long, h long")
+    left, right = df.selectExpr("h x"), df.selectExpr("h y")
+    made = lambda d: hamming._near_rows(left, right, d, "slices")._jdf.queryExecution().analyzed().toString()
+    masks = lambda d: max(len(x.split(", ")) for x in re.findall(r"explode\(array\(([^()]*)\)", made(d)))
+    assert (masks(3), masks(7)) == (1, 17)
+    assert "Aggregate" not in made(3)
+
+
+def test_pairs_carry_columns_unless_ids_repeat(spark):
+    df = spark.createDataFrame([(1, 7, "a"), (3, 7, "c"), (2, 6, "b"), (9, 1 << 40, "z")], "id long, h long, path string")
+    got = {(r.left_id, r.right_id, r.left_path, r.right_path) for r in hamming.hamming_pairs(df, 1).collect()}
+    assert got == {(1, 2, "a", "b"), (1, 3, "a", "c"), (2, 3, "b", "c")}
+    again = df.union(spark.createDataFrame([(1, 1 << 40, "y")], df.schema))
+    out = hamming.hamming_pairs(again, 1)
+    assert out.columns == ["left_id", "right_id", "distance"]
+    assert {(r.left_id, r.right_id) for r in out.collect()} == {(1, 2), (1, 3), (2, 3), (1, 9)}
+
+
+def media_of(spark, rows):
+    """Files (id, kind, h) whose other fingerprints are shifts of h, or none."""
+    names = [f"{m}crop_{r}" for r in hamming.ASPECTS for m in ("", "mirror_")]
+    return spark.createDataFrame([(i, k, h, h >> 9, *[h >> (5 + n) for n in range(6)]) for i, k, h in rows], "id long, kind int, h long, mirror long, " + ", ".join(f"{n} long" for n in names))
+
+
+def test_variants_of_copies_are_scored_once_and_not_exchanged(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(62) for _ in range(6)] + [0]
+    m = media_of(spark, [(i, 1 + i % 2, base[rng.randrange(7)] ^ (1 << rng.randrange(60) if i % 5 == 0 else 0)) for i in range(80)])
+    cand = hamming.variant_candidates(m, 3)
+    old = hamming.scored_pairs(m, cand, 95.0)
+    got = hamming.variant_scores(m, 3, 95.0)
+    assert "Exchange" not in last_step(cand) and "Exchange" not in last_step(got)
+    assert cand.count() == cand.distinct().count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, old.collect()))
+
+
 def test_sure_pairs_need_no_images(spark):
     from twinsieve.functions.vision import verified_pairs
 
