@@ -122,7 +122,7 @@ def jn05_delta_candidates(spark, sf):
 @query(f"WITH {MEDIA_SQL}, {CAND_SQL}, scored AS (SELECT left_id, right_id, greatest({_guard(_VARIANTS)}) AS percent FROM cand JOIN media x ON left_id = x.id JOIN media y ON right_id = y.id) SELECT * FROM scored WHERE percent >= 95.0")
 def sim03_variant_scores(spark, sf):
     m = media(spark, sf)
-    return hamming.scored_pairs(m, hamming.variant_candidates(m, 3), 95.0)
+    return hamming.variant_scores(m, 3, 95.0)
 
 
 @query(f"WITH {MEDIA_SQL}, {BFP_SQL}, ask AS (SELECT id AS q, h, xor(h, 1085102592571150064) AS mirror FROM bfp) SELECT q, id, percent FROM (SELECT x.q, y.id, greatest({_guard(_VARIANTS[:4])}) AS percent FROM ask x JOIN media y ON y.kind = 1) WHERE percent >= 76.0")
@@ -257,9 +257,12 @@ def jn10_removed_files(spark, sf):
 _STORED = "stored AS (SELECT x.path AS \"left\", y.path AS \"right\", (64 - bit_count(xor(x.h, y.h))) * 100.0::DOUBLE / 64 AS percent FROM media x JOIN media y ON x.id < y.id AND bit_count(xor(x.h, y.h)) <= 3)"
 
 
-def _stored(spark, sf, m=None):
+def _stored(spark, sf, m=None, *carried):
+    """The pairs of paths, and the columns `carried` of both ends (left_*, right_*), which an index with repeated ids leaves out."""
     m = media(spark, sf) if m is None else m
-    p = hamming.hamming_pairs(m.select("id", "h"), 3)
+    p = hamming.hamming_pairs(m.select("id", "h", "path", *carried), 3)
+    if "left_path" in p.columns:
+        return p.select(F.col("left_path").alias("left"), F.col("right_path").alias("right"), ((64 - F.col("distance")) * 100.0 / 64).alias("percent"), *[f"{side}_{c}" for c in carried for side in ("left", "right")])
     a, b = m.select(F.col("id").alias("left_id"), F.col("path").alias("left")), m.select(F.col("id").alias("right_id"), F.col("path").alias("right"))
     return p.join(a, "left_id").join(b, "right_id").select("left", "right", ((64 - F.col("distance")) * 100.0 / 64).alias("percent"))
 
@@ -287,7 +290,7 @@ def snk03_forget_files(spark, sf):
 @query(f"WITH {MEDIA_SQL}, {_STORED} SELECT s.*, a.size = b.size AND a.quick_hash = b.quick_hash AND a.sha256 = b.sha256 AS content_identical FROM stored s JOIN files a ON s.\"left\" = a.path JOIN files b ON s.\"right\" = b.path")
 def jn12_content_identical(spark, sf):
     m = media(spark, sf)
-    return changes.content_identical(_stored(spark, sf, m), m)
+    return changes.content_identical(_stored(spark, sf, m, *changes.CONTENT), m)
 
 
 @query(f"WITH {MEDIA_SQL}, {LATER_SQL}, {_STORED}, fresh AS (SELECT m.path FROM media m JOIN later l ON m.path = l.path AND m.size = l.size AND m.modified = l.modified AND m.h <> 0) SELECT * FROM stored WHERE \"left\" IN (FROM fresh) AND \"right\" IN (FROM fresh) AND percent >= 97")
@@ -304,6 +307,10 @@ def jn14_survivors(spark, sf):
     toxic = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
     m = media(spark, sf)
     changed = m.join(toxic, "id", "left_semi").select("path")
+    marked = m.join(toxic.distinct().select("id", F.lit(True).alias("changed")), "id", "left").withColumn("changed", F.col("changed").isNotNull())
+    pairs = _stored(spark, sf, marked, "changed")
+    if "left_changed" in pairs.columns and m.where("path is null").isEmpty() and m.groupBy("path").count().where("count > 1").isEmpty():  # no pair comes twice
+        return pairs.where("not left_changed and not right_changed or percent >= 98").select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"), "percent")
     stored = checkpointed(_stored(spark, sf, m))
     return changes.survivors(stored, changed, stored.where("percent >= 98"))
 
