@@ -102,3 +102,24 @@ def test_recovery_of_one_run_and_refusal_of_corrupt_journals(spark):
     assert {r.run_id: r.sound for r in journal.run_records(events).collect()} == {"r1": True, "r2": False}
     with pytest.raises(ValueError, match="corrupt at line 1"):
         journal.recover(lines_of(spark, "nonsense\n" + text))
+
+
+def test_checkpoint_of_many_partitions_is_few_files(spark):
+    from pathlib import Path
+
+    from twinsieve.session import _checkpoint_file, checkpointed
+
+    keys = {"spark.sql.shuffle.partitions": "200", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        counts = spark.range(5000).selectExpr("id % 700 k").groupBy("k").count().selectExpr("k", "count", "monotonically_increasing_id() at")
+        out = checkpointed(counts)
+        files = list(Path(_checkpoint_file(out).removeprefix("file:")).glob("part-*"))
+        got = {r.k: r["count"] for r in out.collect()}
+        assert len(files) <= 25 and out.select("at").distinct().count() == 700
+        assert got == {k: 8 if k < 100 else 7 for k in range(700)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
