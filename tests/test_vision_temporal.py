@@ -124,3 +124,36 @@ def test_alignment_blends_thumbs_where_both_sides_have_them():
     assert score(half, other) == pytest.approx(50.0, abs=1e-6)
     frame = t.blended(np.array([[95.0]]), *(t.Frames.of(rows(z)[:1]) for z in (thumbs, other)), 90.0)
     assert frame[0, 0] == pytest.approx(0.4 * 95 + 60 * max(v.ssim(thumbs[0], other[0]), v.ssim(thumbs[0], other[0][:, ::-1])))
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_near_fingerprints_are_verified_on_pixels_within_the_candidate_range(spark, monkeypatch, block):
+    from twinsieve.operators import verify
+
+    monkeypatch.setattr(verify, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, (40, 50)).astype(np.uint8)
+    images = {i: np.where(rng.random(base.shape) < i / 60, rng.integers(0, 256, base.shape), base[:, ::-1] if i % 7 == 0 else base).astype(np.uint8)[: 40 - i % 3] for i in range(24)}
+    files = [(i, b"P5 %d %d 255\n" % x.shape[::-1] + x.tobytes()) for i, x in images.items()] + [(30, b"damaged"), (31, None), (None, b"")]
+    prints = {i: (1 << 63 | (1 << (i % 10)) - 1) for i in [*images, 30, 31]}
+    df = spark.createDataFrame([(i, v.signed(h)) for i, h in prints.items()] + [(40, None)], "id long, h long")
+    out = verify.verified_near(df, spark.createDataFrame(files, "doc_id long, content binary"), 8).collect()
+    want = {}
+    for a in prints:
+        for b in prints:
+            if a < b and (d := bin(prints[a] ^ prints[b]).count("1")) <= 8:
+                want[a, b] = v.verified(images.get(a), images.get(b), (64 - d) * 100.0 / 64)
+    assert len(out) == len(want) and {(r.left_id, r.right_id) for r in out} == set(want)
+    assert all(abs(r.percent - want[r.left_id, r.right_id]) < 1e-9 for r in out)
+    assert len({r.percent for r in out}) > 100
+
+
+def test_the_query_of_verified_pairs_looks_at_pixels(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    texts = ["alpha beta gamma delta " * 9 + "x%d " % k * k for k in range(6)] + [None, "..."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries()["sim04_verified_pairs"](spark, str(tmp_path))
+    assert out.columns == ["left_id", "right_id", "percent"]
+    percents = [r.percent for r in out.collect()]
+    assert percents and any(p < v.SURE for p in percents)
