@@ -58,6 +58,36 @@ def test_scores_do_not_depend_on_what_is_broadcast(docs, scored, max_broadcast,
         assert key(a) == key(b) and a.n_known == b.n_known and a.score == pytest.approx(b.score, rel=1e-9)
 
 
+def test_nothing_travels_by_token_or_by_row_and_bucket(docs, monkeypatch):
+    made = []
+    cut = lm.cut
+    monkeypatch.setattr(lm, "cut", lambda df: made.append(cut(df)) or made[-1])
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 1 << 14, raising=False)
+    out = lm.score(docs, lm.fifth() == 1, max_broadcast=1000, head_size=50)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan  # no sums by row over the buckets' answers
+    assert not any("rid" in df.columns for df in made)  # no question names a row
+    chunks = next(df for df in made if "text" in df.columns)
+    assert 1 < chunks.count() < docs.count() and out.count() == docs.count()
+
+
+def test_counts_are_sent_in_few_bytes():
+    parts = [np.array(x, np.int64) for x in ([], [0, 255], [256], [1 << 16, 3], [(1 << 63) - 1])]
+    assert [len(lm._narrow(x)) for x in parts] == [1, 3, 3, 9, 9]
+    assert np.array_equal(lm._widened([lm._narrow(x) for x in parts] + [b""]), np.concatenate(parts))
+
+
+def test_chunks_of_many_partitions_keep_apart(spark, docs, scored):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "90")  # a task of a checkpoint then writes several partitions
+    try:
+        many = lm.score(docs.repartition(40), lm.fifth() == 1, max_broadcast=1000, head_size=50).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    total = lambda rows: (len(rows), sum(r.n_tokens for r in rows), sum(r.n_known for r in rows), round(sum(r.base_score for r in rows), 3))
+    assert total(many) == total(scored)
+
+
 def test_no_rows_and_no_training_rows(docs, none):
     from pyspark.sql import functions as F
 

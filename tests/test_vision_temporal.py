@@ -126,11 +126,15 @@ def test_alignment_blends_thumbs_where_both_sides_have_them():
     assert frame[0, 0] == pytest.approx(0.4 * 95 + 60 * max(v.ssim(thumbs[0], other[0]), v.ssim(thumbs[0], other[0][:, ::-1])))
 
 
-@pytest.mark.parametrize("block", [2048, 7])
-def test_near_fingerprints_are_verified_on_pixels_within_the_candidate_range(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, files_a_task", [(2048, 4), (7, 4), (1, 1)])
+def test_near_fingerprints_are_verified_on_pixels_within_the_candidate_range(spark, monkeypatch, block, files_a_task):
+    from twinsieve import session
     from twinsieve.operators import verify
 
     monkeypatch.setattr(verify, "BLOCK", block)
+    if files_a_task == 1:  # each task of a checkpoint then writes several partitions
+        monkeypatch.setattr(session, "MANY", 0)
+        monkeypatch.setattr(session, "FILES", 1)
     rng = np.random.default_rng(5)
     base = rng.integers(0, 256, (40, 50)).astype(np.uint8)
     images = {i: np.where(rng.random(base.shape) < i / 60, rng.integers(0, 256, base.shape), base[:, ::-1] if i % 7 == 0 else base).astype(np.uint8)[: 40 - i % 3] for i in range(24)}
